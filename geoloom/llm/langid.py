@@ -29,8 +29,8 @@ BITS = 7
 LETTERS = (1 << BITS) - 3
 #: Sampled texts a language, at most about this many (half fit, half calibrate).
 SAMPLE = 400
-#: How far, in deviations of texts of its length, a text's cross-entropy may exceed a language's mean.
-FAR = 12.0
+#: How far a text's cross-entropy may exceed a language's mean: by this share of it, and by so many deviations of texts of its length.
+SLACK, FAR = 0.3, 12.0
 
 
 def mixed(codes: np.ndarray, order: int) -> np.ndarray:
@@ -173,15 +173,17 @@ class Model:
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score (0 to 1) and rejection of each text."""
+        if not texts:
+            return [], np.zeros(0), np.zeros(0, bool)
         entropies, sizes, letters = self.cross_entropies(texts)
         best = entropies.argmin(axis=1)
         sharp = np.minimum(sizes, 100)[:, None]
         score = 1 / np.exp((entropies.min(axis=1, keepdims=True) - entropies) * sharp).sum(axis=1)
         names = [self.languages[j] for j in best]
         normal = np.array([self.normal[x] for x in names])
-        beyond = (entropies[np.arange(len(texts)), best] - normal[:, 0]) * np.sqrt(sizes) / normal[:, 1] if texts else np.zeros(0)
+        limit = normal[:, 0] * (1 + SLACK) + FAR * normal[:, 1] / np.sqrt(sizes)
         none = letters == 0
-        return ["und" if z else x for x, z in zip(names, none, strict=True)], np.where(none, 0.0, score), none | (beyond > FAR)
+        return ["und" if z else x for x, z in zip(names, none, strict=True)], np.where(none, 0.0, score), none | (entropies.min(axis=1) > limit)
 
 
 def train(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, seed: int = 5) -> Model | None:

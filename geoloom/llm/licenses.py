@@ -38,8 +38,7 @@ TEMPLATES = {
     "mit-notice": "released under the mit license",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software",
     "bsd-notice": "redistribution and use in source and binary forms with or without modification are permitted",
-    "cc-by-nc": "licensed under cc by nc 4 0",
-    "cc-by-sa": "licensed under cc by sa 4 0",
+    "cc-by-notice": "licensed under cc by 4 0",
     "mpl-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
 }
 
