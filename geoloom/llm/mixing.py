@@ -82,7 +82,7 @@ def mix_sources(df: DataFrame, targets: dict[str, float] | None = None, *, sourc
     name = F.when(F.col(source).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(source).cast("string")))
     keyed = df.select(*columns, name.alias("__s"), F.xxhash64(F.lit(seed), *content).alias("__h"))
     counts = {r[0]: r[1] for r in keyed.groupBy("__s").count().collect()}
-    parts = max(16, -(-max(counts.values(), default=0) // part_rows))
+    parts = max(64, -(-max(counts.values(), default=0) // part_rows))
     rows = keyed.withColumn("__part", F.pmod(F.xxhash64(F.lit(seed + 1), "__h"), F.lit(parts)))
     before = Window.partitionBy("__s").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("__s", "__part").count().select("__s", "__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, langid, licenses, media, mixing, sharding, warc
+from . import ann, bpe, jaccard, langid, licenses, media, mixing, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_langid": langid.op7_langid,
         "op8_neighbours": ann.op8_neighbours,
         "op9_mixing": mixing.op9_mixing,
+        "op10_jaccard": jaccard.op10_jaccard,
     }
 
 
