@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, jaccard, langid, licenses, media, mixing, sharding, warc
+from . import ann, bpe, jaccard, langid, licenses, media, mixing, repeats, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": bpe.op3_bpe,
         "op4_media": media.op4_media,
         "op5_warc": warc.op5_warc,
+        "op6_repeats": repeats.op6_repeats,
         "op7_langid": langid.op7_langid,
         "op8_neighbours": ann.op8_neighbours,
         "op9_mixing": mixing.op9_mixing,
