@@ -138,14 +138,13 @@ def from_state(blob: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], n
 
 
 def candidate_rows(p: Parse, shared: np.ndarray, least: int) -> np.ndarray:
-    """Rows where a run of shared phrases, with the phrases next to it, spans ``least`` bytes."""
+    """Rows with a run of shared phrases as long as those that lie inside any repeated string of ``least`` bytes, or longer."""
     out = np.zeros(len(p.bounds) - 1, bool)
     if not len(p.starts):
         return out
     change = np.diff(np.concatenate(([0], shared.astype(np.int8), [0])))
     first, last = np.flatnonzero(change == 1), np.flatnonzero(change == -1) - 1
-    left, right = np.maximum(first - 1, 0), np.minimum(last + 1, len(p.starts) - 1)
-    long = p.ends[right] - p.starts[left] >= least
+    long = p.ends[last] - p.starts[first] >= least - AHEAD - BEHIND - 2 * WINDOW
     out[np.searchsorted(p.bounds, p.starts[first[long]], "right") - 1] = True
     return out
 
