@@ -1,15 +1,49 @@
-"""A corpus pipeline over ``documents``: language ID, near duplicates, repeated passages, mixing, byte-level BPE."""
+"""A corpus pipeline over ``documents``.
+
+Language ID drops what it rejects; of near copies one stays; repeated passages are cut out; the sources
+are mixed in Pfair order (the order of the rows in the written files); the texts are encoded.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from geoloom.llm import bpe, jaccard, langid, mixing, repeats
+from geoloom.llm.common import Stages
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.recognised(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.one_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = repeats.without_repeats(docs)
+    return kept.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.in_mixed_order(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True)
+
 
-from geoloom.llm import langid, mixing
+STAGES = [("language", language), ("near_copies", near_copies), ("repeated_passages", repeated_passages), ("mix", mix), ("encode", encode)]
 
-STAGES: list = []
+#: The stages train a model, follow links of any length and run merges; SQL can't express them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stages = Stages(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stages.keep(stage(spark, docs, sf_dir), name)
     return docs

@@ -215,9 +215,9 @@ def train(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang:
 
 
 def identify(docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` and ``rejected``. The model (bounded by its sample) is broadcast."""
+    """``docs`` with ``lang_pred``, ``score`` and ``rejected`` (columns of these names are replaced). The model (bounded by its sample) is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.schema.simpleString()[7:-1]
+    docs = docs.drop("lang_pred", "score", "rejected")
     columns = docs.columns
 
     def make():
@@ -234,7 +234,7 @@ def identify(docs: DataFrame, model: Model | None, *, text: str = "text") -> Dat
 
         return step
 
-    return map_arrow(docs, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double, rejected boolean") if schema else docs
+    return map_arrow(docs, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double, rejected boolean")
 
 
 def held_out(key: str = "doc_id"):
@@ -242,6 +242,13 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def recognised(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """``docs`` without the rows that language ID rejects."""
+    model = train(docs.where(~held_out(key)), key=key, text=text, lang=lang)
+    aside = docs.withColumnsRenamed({c: f"c_{c}" for c in docs.columns})
+    return identify(aside, model, text=f"c_{text}").where("not rejected").select(*(F.col(f"c_{c}").alias(c) for c in docs.columns))
+
+
 def op7_langid(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs.where(~held_out()))

@@ -9,7 +9,8 @@ with their weights against the new total: no row is dropped or repeated.
 
 Defined results: a null source is a source of its own, sorted by the name ``""`` with a flag; null texts
 and ids are rows like any others; repeated rows each keep a place; an empty table gives an empty result;
-extra columns travel along unless they begin with ``__``.
+extra columns travel along unless they begin with ``__`` or have a
+result column's name.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ def mix_sources(df: DataFrame, targets: dict[str, float] | None = None, *, sourc
     square root of its rows. The driver holds one row a source and phase, and one period of slots a phase.
     """
     spark, stages = df.sparkSession, Stages(df.sparkSession, "mixing")
-    columns = [c for c in df.columns if not c.startswith("__")]
+    columns = [c for c in df.columns if not c.startswith("__") and c not in ("block", "slot", "place")]
     content = [F.to_json(F.struct(F.col(c))) if df.schema[c].dataType.typeName() in ("map", "variant") else F.col(c) for c in columns]
     name = F.when(F.col(source).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(source).cast("string")))
     keyed = df.select(*columns, name.alias("__s"), F.xxhash64(F.lit(seed), *content).alias("__h"))

@@ -192,12 +192,14 @@ def fields_of(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def dedupe(docs: DataFrame, *, text: str = "text", least: int = LEAST) -> DataFrame:
-    """``docs`` with ``n_removed`` (bytes), ``n_spans`` (maximal removed runs) and ``kept`` (the remaining bytes, binary)."""
+def dedupe(docs: DataFrame, *, text: str = "text", least: int = LEAST, as_text: bool = False) -> DataFrame:
+    """``docs`` with ``n_removed`` (bytes), ``n_spans`` (maximal removed runs) and ``kept``: the remaining bytes, or with
+    ``as_text`` a string of them without the bytes of characters that were cut apart."""
     if least < 3 * WINDOW + AHEAD + BEHIND:
         raise ValueError("strings must be longer than the windows of the cuts")
     spark, stages = docs.sparkSession, Stages(docs.sparkSession, "repeats")
-    result = f"{fields_of(docs)}, n_removed long, n_spans long, kept binary"
+    docs = docs.drop("n_removed", "n_spans", "kept")
+    result = f"{fields_of(docs)}, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
     result_schema = to_arrow_schema(spark.createDataFrame([], result).schema)
     shards = stages.keep(pack(docs, text), "shards")
     total = shards.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
@@ -214,9 +216,9 @@ def dedupe(docs: DataFrame, *, text: str = "text", least: int = LEAST) -> DataFr
         several = np.append(bits_told(keys, told, bits, buckets) | (counts > 1), False)
         return several[place] & (blocks != 0)
 
-    def done(batch, texts):
-        n = len(texts)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int64)), pa.array(texts, pa.binary())], schema=result_schema)
+    def done(batch, removed, runs, raw):
+        kept = [x.decode("utf-8", "ignore") for x in raw] if as_text else raw
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, result_schema.field("kept").type)], schema=result_schema)
 
     def first_keys():
         def keys(blob):
@@ -236,7 +238,7 @@ def dedupe(docs: DataFrame, *, text: str = "text", least: int = LEAST) -> DataFr
             part = batch.filter(pa.array(~rows))
             raw = [(x.as_py() or "").encode() for x in part.column(text)]
             kinds.append("done")
-            blobs_out.append(to_blob(done(part, raw)))
+            blobs_out.append(to_blob(done(part, [0] * len(raw), [0] * len(raw), raw)))
         if rows.any():
             part = batch.filter(pa.array(rows))
             q = parse(part, text)
@@ -370,7 +372,7 @@ def dedupe(docs: DataFrame, *, text: str = "text", least: int = LEAST) -> DataFr
             removed.append(sum(y - x for x, y in spans))
             runs.append(len(spans))
             left.append(b"".join(parts))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(left, pa.binary())], schema=result_schema)
+        yield done(batch, removed, runs, left)
 
     told = answer(ask(both, open_keys, 64, buckets, "texts", "flags"))
     settled = with_answers(both, told, open_told, result, "texts", "flags")
@@ -391,10 +393,9 @@ def op6_repeats(spark, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """``docs`` with the repeated passages cut out of the texts; bytes of characters that were cut apart are dropped, and texts that had nothing else go."""
-
+    """``docs`` with the repeated passages cut out of the texts; rows whose text was nothing else go."""
     columns = docs.columns
-    found = dedupe(docs, text=text)
-    clean = F.decode(F.col("kept"), "utf-8")
-    kept = F.when(F.col("n_removed") > 0, clean).otherwise(F.col(text))
-    return found.where((F.col("n_removed") == 0) | (F.octet_length("kept") > 0)).withColumn(text, kept).select(*columns)
+    aside = docs.withColumnsRenamed({c: f"c_{c}" for c in columns})
+    found = dedupe(aside, text=f"c_{text}", as_text=True).where((F.col("n_removed") == 0) | (F.length("kept") > 0))
+    cut = found.withColumn(f"c_{text}", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(f"c_{text}")))
+    return cut.select(*(F.col(f"c_{c}").alias(c) for c in columns))

@@ -8,7 +8,7 @@ each shard permutes again, in blocks, for gapless slots.
 
 Defined results: a null text counts as empty (size 1, CRC 0); null ids are rows like any others; repeated
 rows each get their own slot; an empty table gives an empty result; extra columns travel along unless
-they begin with ``__``.
+they begin with ``__`` or have a result column's name.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ def shuffle_shards(df: DataFrame, shards: int, *, seed: int = 17, part_rows: int
     ``part_rows`` bounds the rows a task permutes; the driver holds one count and one matrix row a part.
     """
     spark, stages = df.sparkSession, Stages(df.sparkSession, "sharding")
-    columns = [c for c in df.columns if not c.startswith("__")]
+    columns = [c for c in df.columns if not c.startswith("__") and c not in ("shard", "slot")]
     content = [F.to_json(F.struct(F.col(c))) if df.schema[c].dataType.typeName() in ("map", "variant") else F.col(c) for c in columns]
     keyed = df.select(*columns, F.xxhash64(F.lit(seed), *content).alias("__h"))
     keyed = stages.keep(keyed, "keyed")
