@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,6 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000):
+    """While a stage table is written, Arrow batches have so many rows at most: texts and blobs are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before) if int(before) > 0 else rows)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Stages:
     """Tables written between the stages of one operator; they cut lineage and survive lost executors."""
 
@@ -30,9 +43,11 @@ class Stages:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        with small_batches(self.spark):
+            out = df.write.option("compression", "zstd")
+            (out.partitionBy(by) if by else out).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

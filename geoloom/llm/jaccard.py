@@ -145,16 +145,24 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int
             order = np.lexsort((s, often))
             prefix = order[: len(s) - least_shared(len(s), percent) + 1]
             places = np.flatnonzero(often[prefix] > 1)
-            out.append(((shard << 20) + i, batch.column("print")[i].as_py(), len(s), s.view(np.int64), s[prefix[places]].view(np.int64), places.astype(np.int32)))
+            out.append(((shard << 20) + i, batch.column("print")[i].as_py(), len(s), s.tobytes(), s[prefix[places]].tobytes(), places.astype(np.int32).tobytes()))
         columns = list(zip(*out, strict=True)) if out else [[]] * 6
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["set", "print", "n", "hashes", "prefix", "places"])
 
-    found = with_answers(sets, answer(ask(sets, keys_in_sets, 64, buckets2, "blob")), tell_sets, "set long, print binary, n long, hashes array<long>, prefix array<long>, places array<int>", "blob")
+    def entries_of(batches):
+        for batch in batches:
+            if batch.num_rows:
+                sets, sizes = (batch.column(c).to_numpy() for c in ("set", "n"))
+                prefix, places = ([np.frombuffer(x.as_buffer(), kind) for x in batch.column(c)] for c, kind in (("prefix", np.int64), ("places", np.int32)))
+                counts = [len(x) for x in prefix]
+                yield pa.RecordBatch.from_arrays([np.repeat(sets, counts), np.repeat(sizes, counts), np.concatenate(prefix), np.concatenate(places)], ["set", "n", "shingle", "place"])
+
+    found = with_answers(sets, answer(ask(sets, keys_in_sets, 64, buckets2, "blob")), tell_sets, "set long, print binary, n long, hashes binary, prefix binary, places binary", "blob")
     found = stages.keep(found, "found")
     stages.drop("sets")
     members = found.select("set", "n", "hashes")
-    index = found.select("set", "n", F.posexplode("prefix").alias("i", "shingle"), "places").select("set", "n", "shingle", F.element_at("places", F.col("i") + 1).alias("place"))
+    index = found.select("set", "n", "prefix", "places").mapInArrow(entries_of, "set long, n long, shingle long, place int")
     index = stages.keep(index, "index")
 
     comp = linked(stages, members, index, percent)
@@ -190,43 +198,45 @@ def pairs_of_lists(entries: DataFrame, percent: int, every: bool) -> DataFrame:
         t, s, n, p, c = (table.column(x).to_numpy() for x in ("shingle", "set", "n", "place", "comp"))
         order = np.lexsort((s, p, n, t))
         t, s, n, p, c = (x[order] for x in (t, s, n, p, c))
-        first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.zeros(0, np.int64)
-        out: list[np.ndarray] = []
-
-        def passing(i, j):
-            """Of pairs of places i, j: different classes, sizes and positions that leave room for enough shared shingles."""
-            need = np.ceil((n[i] + n[j]) * (ratio / (1 + ratio)) - 1e-6)
-            room = 1 + np.minimum(n[i] - p[i] - 1, n[j] - p[j] - 1)
-            return (c[i] != c[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent) & (room >= need)
+        number = np.cumsum(np.concatenate(([0], t[1:] != t[:-1])))
+        first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+        # a list that holds one class is skipped: its answers are known
+        mixed_lists = np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first)
+        keep = mixed_lists[number]
+        s, n, p, c, number = (x[keep] for x in (s, n, p, c, number))
+        out = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
 
         def add(i, j):
-            ok = passing(i, j)
+            """Of the pairs of places i, j: those of different classes whose sizes and positions leave room for enough shared shingles."""
+            low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            need = np.ceil((n[i] + n[j]) * (ratio / (1 + ratio)) - 1e-6)
+            room = np.minimum(n[i] - p[i], n[j] - p[j])
+            ok = (number[i] == number[j]) & (c[i] != c[j]) & (low * 100 >= high * percent) & (room >= need)
             a, b = s[i[ok]], s[j[ok]]
-            if len(a):
-                out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-            if sum(map(len, out)) > 1 << 20:
-                out[:] = [np.unique(np.concatenate(out), axis=0)]
-
-        for a, b in zip(first, np.append(first, len(t))[1:], strict=True):
-            if b - a < 2 or (c[a:b] == c[a]).all():
-                continue  # the list holds one class: its answers are known
+            pairs = np.unique(np.stack([np.append(out[0], np.minimum(a, b)), np.append(out[1], np.maximum(a, b))], axis=1).view("i8,i8").ravel())
+            out[:] = pairs["f0"], pairs["f1"]
+
+        if len(s):
+            here, width = np.arange(len(s)), int(n.max()) * 100 // percent + 2
+            at = number * width + n  # sorted: in a list, sets of a range of sizes are one block
             if every:
-                # sorted by size: the partners of a set are one block, beyond which sizes differ too much
-                ends = a + np.searchsorted(n[a:b] * percent, n[a:b] * 100, "right")
-                for i in range(a, b - 1):
-                    if ends[i - a] > i + 1:
-                        add(np.full(ends[i - a] - i - 1, i), np.arange(i + 1, ends[i - a]))
+                # the partners of a set stand in the block behind it, up to the largest size that the length filter lets through
+                ends = np.searchsorted(at, number * width + n * 100 // percent, "right")
+                left, counts = 0, np.maximum(ends - here - 1, 0)
+                upto = np.cumsum(counts)
+                while left < len(s):
+                    right = max(left + 1, int(np.searchsorted(upto, (upto[left - 1] if left else 0) + (1 << 20), "right")))
+                    i = np.repeat(here[left:right], counts[left:right])
+                    before = np.repeat(upto[left:right] - counts[left:right], counts[left:right])
+                    add(i, i + 1 + np.arange(len(i)) + (upto[left - 1] if left else 0) - before)
+                    left = right
             else:
-                kinds, sizes = np.unique(c[a:b], return_counts=True)
-                pivot = a + int(np.flatnonzero(c[a:b] == kinds[sizes.argmax()])[0])
-                # a pivot for each stretch of sizes that the length filter allows
-                spans = np.arange(a, b)
-                near = a + np.searchsorted(n[a:b], least_shared(n[a:b], percent))
-                add(spans, np.full(b - a, pivot))
-                add(spans, near)
-                add(spans[1:], spans[:-1])
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+                least = np.lexsort((s, c, number))
+                pivots = least[np.flatnonzero(np.concatenate(([True], number[least][1:] != number[least][:-1])))]
+                add(here, pivots[np.searchsorted(number[pivots], number)])
+                add(here, np.searchsorted(at, number * width + least_shared(n, percent)))
+                add(here[1:], here[:-1])
+        return pa.table({"a": out[0], "b": out[1]})
 
     lists = entries.withColumn("bucket", F.pmod(F.xxhash64("shingle"), F.lit(list_buckets(entries))))
     return lists.groupBy("bucket").applyInArrow(run, PAIRS).distinct()
@@ -239,11 +249,16 @@ def list_buckets(entries: DataFrame) -> int:
 def linked(stages: Stages, members: DataFrame, index: DataFrame, percent: int) -> DataFrame:
     """``node`` and ``comp`` of the sets that have links."""
 
+    def shared(batches):
+        for batch in batches:
+            a, b, na, nb = (batch.column(c).to_numpy() for c in ("a", "b", "na", "nb"))
+            both = np.fromiter((len(np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True)) for x, y in zip(batch.column("ha"), batch.column("hb"), strict=True)), np.int64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(both * 100 >= (na + nb - both) * percent)], ["a", "b", "link"])
+
     def compared(pairs: DataFrame) -> DataFrame:
         right = members.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
         left = members.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
-        both = F.size(F.array_intersect("ha", "hb"))
-        return pairs.join(right, "b").join(left, "a").select("a", "b", (both * 100 >= (F.col("na") + F.col("nb") - both) * percent).alias("link"))
+        return pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "ha", "hb").mapInArrow(shared, "a long, b long, link boolean")
 
     tried, comp = None, None
     for turn in range(PIVOT_ROUNDS + 1):

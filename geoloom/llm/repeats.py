@@ -251,10 +251,8 @@ def dedupe(docs: DataFrame, *, text: str = "text", least: int = LEAST, as_text:
 
     questions = ask(shards, first_keys, bits, buckets, "blob")
     first = with_answers(shards, answer(questions), first_told, "shard long, kind string, blob binary", "blob")
-    path = f"{stages.root}/first"
-    first.write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    kept = stages.keep(first, "first", by="kind")
     stages.drop("shards")
-    kept = spark.read.schema(first.schema).parquet(path)
     clean, texts, state = (kept.where(F.col("kind") == k).select("shard", "blob") for k in ("done", "text", "state"))
 
     # Rounds: blocks of 2, 4, 8 ... phrases.
