@@ -35,7 +35,9 @@ BLANK[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Rounds in which pivots of other classes are tried before all pairs of different classes are compared.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 4
+#: Pivots of a list in each round but the first, which has one.
+PIVOTS = 16
 #: Bytes of text a question's pass hashes at a time.
 PASS = 1 << 20
 
@@ -187,10 +189,10 @@ def distinct_keys(sets: list[np.ndarray], shift) -> np.ndarray:
 PAIRS = "a long, b long"
 
 
-def pairs_of_lists(entries: DataFrame, percent: int, every: bool) -> DataFrame:
+def pairs_of_lists(entries: DataFrame, percent: int, turn: int, every: bool) -> DataFrame:
     """Pairs (a < b) of sets of different classes to compare, from index entries (set, n, shingle, place, comp).
 
-    ``every``: all pairs that pass the length and positional filters; else each set with one pivot of the list and its neighbour.
+    ``every``: all pairs that pass the length and positional filters; else each set with the turn's pivots of its lists and with neighbours in size.
     """
     ratio = percent / 100
 
@@ -231,9 +233,12 @@ def pairs_of_lists(entries: DataFrame, percent: int, every: bool) -> DataFrame:
                     add(i, i + 1 + np.arange(len(i)) + (upto[left - 1] if left else 0) - before)
                     left = right
             else:
-                least = np.lexsort((s, c, number))
-                pivots = least[np.flatnonzero(np.concatenate(([True], number[least][1:] != number[least][:-1])))]
-                add(here, pivots[np.searchsorted(number[pivots], number)])
+                # pivots by a hash of the set, so that lists of similar sets have the same ones; other ones in each turn
+                by = np.lexsort((mix(s.astype(np.uint64) + U64(turn << 56)), number))
+                start = np.searchsorted(number[by], number)
+                last = np.searchsorted(number[by], number, "right") - 1
+                for k in range(PIVOTS if turn else 1):
+                    add(here, by[np.minimum(start + k, last)])
                 add(here, np.searchsorted(at, number * width + least_shared(n, percent)))
                 add(here[1:], here[:-1])
         return pa.table({"a": out[0], "b": out[1]})
@@ -269,7 +274,7 @@ def linked(stages: Stages, members: DataFrame, index: DataFrame, percent: int) -
             entries = index.join(comp.withColumnRenamed("node", "set"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
             several = entries.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("shingle")
             entries = entries.join(several, "shingle", "left_semi")
-        pairs = pairs_of_lists(entries, percent, every)
+        pairs = pairs_of_lists(entries, percent, turn, every)
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         new = stages.keep(compared(pairs), f"compared-{turn}")
