@@ -42,12 +42,14 @@ class Stages:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.kept: list[str] = []
 
     def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         path = f"{self.root}/{name}"
         with small_batches(self.spark):
             out = df.write.option("compression", "zstd")
             (out.partitionBy(by) if by else out).parquet(path)
+        self.kept.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -58,6 +60,9 @@ class Stages:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         self.sweep()
 
+    def drop_all_but(self, *names: str) -> None:
+        self.drop(*(x for x in self.kept if x not in names))
+
     def sweep(self) -> None:
         self.spark.sparkContext._jvm.System.gc()
 

@@ -172,7 +172,10 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int
     joined = found.select("set", "print").join(comp.withColumnRenamed("node", "set"), "set").join(smallest, "print")
     reach = joined.join(joined.groupBy("comp").agg(F.min("own").alias("reached")), "comp").select("print", "reached")
     whole = smallest.join(reach, "print", "left").select("print", F.coalesce("reached", "own").alias("least"))
-    return texts.join(whole, "print", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("print").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    result = texts.join(whole, "print", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("print").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    result = stages.keep(result, "result")
+    stages.drop_all_but("result")
+    return result
 
 
 def shard_keys(sets: list[np.ndarray], shift) -> tuple[np.ndarray, np.ndarray]:

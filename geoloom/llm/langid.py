@@ -224,7 +224,7 @@ def identify(docs: DataFrame, model: Model | None, *, text: str = "text") -> Dat
         model = shared.value
 
         def step(batch):
-            for part in pieces(batch, text, 4 << 20):
+            for part in pieces(batch, text, 1 << 20):
                 texts = [x or "" for x in part.column(text).to_pylist()]
                 if model is None:
                     names, scores, out = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
