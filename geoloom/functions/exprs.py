@@ -11,45 +11,54 @@ FILTERS = ("eq", "ne", "gt", "gte", "lt", "lte", "in", "not_in", "contains", "ex
 NUMERIC = ("int", "bigint", "double", "float", "smallint", "tinyint")
 
 
+WHOLE = ("int", "bigint", "smallint", "tinyint")
+
+
 def _literal(value, kind: str) -> Column | None:
-    """The value as the column's type, or None where no value of that type equals it."""
-    if value is None:
-        return None
-    if kind in NUMERIC or kind == "boolean":
-        return F.lit(float(value)) if isinstance(value, (bool, int, float)) else None
+    """The value as the column's type, so that a scan can take the filter; None where no value of that type equals it."""
+    if kind == "boolean":
+        return F.lit(bool(value)) if isinstance(value, (bool, int, float)) and value in (0, 1) else None
+    if kind in NUMERIC:
+        if not isinstance(value, (bool, int, float)) or (kind in WHOLE and value != int(value)):
+            return None
+        return F.lit(int(value) if kind in WHOLE else float(value))
     return F.lit(value) if isinstance(value, str) else None
 
 
-def _number(value) -> Column:
+def _limit(col: Column, kind: str, value) -> tuple[Column, Column]:
+    """Both sides of a comparison by size, as numbers; what is no number is null."""
     try:
-        return F.lit(float(value))
+        number = float(value)
     except (TypeError, ValueError):
-        return F.lit(None).cast("double")
+        number = None
+    if kind in WHOLE and number is not None and number == int(number):
+        return col, F.lit(int(number))
+    side = col if kind in ("double", "float") else col.cast("double") if kind in NUMERIC or kind == "boolean" else col.try_cast("double")
+    return side, F.lit(number).cast("double")
 
 
-def predicate(col: Column, kind: str, op: str, value=None) -> Column:
-    """True or false, never null: on null every operator but ``exists`` is false."""
-    same = col.cast("double") if kind in NUMERIC or kind == "boolean" else col
-    number = col.cast("double") if kind in NUMERIC or kind == "boolean" else col.try_cast("double")
+def predicate(col: Column, kind: str, op: str, value=None, total: bool = True) -> Column:
+    """True or false, and null (which WHERE takes for false) only without ``total``: on null every operator but ``exists`` is false."""
     if op == "exists":
         return col.isNotNull()
     if op in ("eq", "ne"):
         wanted = _literal(value, kind)
-        found = F.lit(False) if wanted is None else same == wanted
-        test = found if op == "eq" else ~found
+        test = col == wanted if wanted is not None else F.lit(False)
+        test = test if op == "eq" else col != wanted if wanted is not None else col.isNotNull()
     elif op in ("in", "not_in"):
         wanted = [x for x in (_literal(v, kind) for v in value) if x is not None]
-        found = same.isin(*wanted) if wanted else F.lit(False)
-        test = found if op == "in" else ~found
+        test = col.isin(*wanted) if wanted else F.lit(False)
+        test = test if op == "in" else ~test if wanted else col.isNotNull()
     elif op == "contains":
         text = str(value).lower()
         test = F.exists(col, lambda x: F.contains(F.lower(x.cast("string")), F.lit(text))) if kind.startswith("array") else F.contains(F.lower(col.cast("string")), F.lit(text))
     elif op == "between":
-        test = number.between(_number(value[0]), _number(value[1]))
+        (a, low), (b, high) = _limit(col, kind, value[0]), _limit(col, kind, value[1])
+        test = (a >= low) & (b <= high)
     else:
-        limit = _number(value)
-        test = {"gt": number > limit, "gte": number >= limit, "lt": number < limit, "lte": number <= limit}[op]
-    return F.coalesce(test & col.isNotNull(), F.lit(False))
+        side, limit = _limit(col, kind, value)
+        test = {"gt": side > limit, "gte": side >= limit, "lt": side < limit, "lte": side <= limit}[op]
+    return F.coalesce(test, F.lit(False)) if total else test
 
 
 # Strings

@@ -173,21 +173,16 @@ def coverage(areas: DataFrame, distances: DataFrame, budget: float) -> DataFrame
 
 
 def thinned(points: DataFrame, apart_m: float, limit: int) -> DataFrame:
-    """Greedy choice of points (node, x, y, cost), worst first, no two nearer than ``apart_m``; sequential over the worst 100 * limit only as each pick is bounded by ``limit``."""
-
-    def pick(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (-(r["cost"] if r["cost"] is not None else float("inf")), r["node"]))
-        kept: list[dict] = []
-        for r in rows:
-            if len(kept) < limit and all((r["x"] - k["x"]) ** 2 + (r["y"] - k["y"]) ** 2 >= apart_m**2 for k in kept):
-                kept.append(r)
-        return pa.Table.from_pylist(kept, schema=table.schema)
-
-    # one survivor of each cell of half the distance (its worst point) is enough to keep what any task sees small
-    cell = apart_m / 2
-    worst = Window.partitionBy(F.floor(F.col("x") / cell), F.floor(F.col("y") / cell)).orderBy(F.col("cost").desc_nulls_first(), "node")
-    few = points.select("node", "x", "y", "cost").withColumn("r", F.row_number().over(worst)).where("r = 1").drop("r").orderBy(F.col("cost").desc_nulls_first(), "node").limit(100 * limit)
-    return few.groupBy(F.lit(0)).applyInArrow(pick, few.schema)
+    """Greedy choice of up to ``limit`` points (node, x, y, cost), worst first, no two nearer than ``apart_m``: a top-1 scan of what is left for each pick."""
+    kept: list = []
+    left = points.select("node", "x", "y", "cost")
+    while len(kept) < limit:
+        row = left.orderBy(F.col("cost").desc_nulls_first(), "node").first()
+        if row is None:
+            break
+        kept.append(row)
+        left = left.where(F.hypot(F.col("x") - row["x"], F.col("y") - row["y"]) >= apart_m)
+    return points.sparkSession.createDataFrame(kept, left.schema)
 
 
 def graded(services: DataFrame) -> DataFrame:

@@ -83,5 +83,5 @@ def interior_point(polygons: DataFrame) -> DataFrame:
     hits = with_bounds(polygons).withColumn("my", y + (F.col("y1") - F.col("y0")) * 1e-9)
     crossing = F.filter(edges_of(F.col("ring")), lambda e: (e["a"]["y"] > F.col("my")) != (e["b"]["y"] > F.col("my")))
     at = F.array_sort(F.transform(crossing, lambda e: e["a"]["x"] + (F.col("my") - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / (e["b"]["y"] - e["a"]["y"])))
-    spans = F.transform(F.sequence(F.lit(1), F.size("at") / 2), lambda i: F.struct((F.element_at("at", (2 * i).cast("int")) - F.element_at("at", (2 * i - 1).cast("int"))).alias("w"), ((F.element_at("at", (2 * i).cast("int")) + F.element_at("at", (2 * i - 1).cast("int"))) / 2).alias("x")))
+    spans = F.transform(F.sequence(F.lit(1), F.floor(F.size("at") / 2).cast("int")), lambda i: F.struct((F.element_at("at", (2 * i).cast("int")) - F.element_at("at", (2 * i - 1).cast("int"))).alias("w"), ((F.element_at("at", (2 * i).cast("int")) + F.element_at("at", (2 * i - 1).cast("int"))) / 2).alias("x")))
     return hits.withColumn("at", at).select("area", F.array_max(spans)["x"].alias("x"), F.col("my").alias("y"))

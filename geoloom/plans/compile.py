@@ -43,7 +43,7 @@ def _start(graph: PropertyGraph, spec: QuerySpec) -> DataFrame:
     kinds = graph.catalog.node(spec.start).kinds()
     rows = graph.by_ids(spec.start, list(spec.ids)) if spec.ids else graph.nodes(spec.start)
     for f in spec.filters:
-        rows = rows.where(predicate(F.lit(spec.start) if f.field == "type" else F.col(f.field), kinds[f.field], f.op, f.value))
+        rows = rows.where(predicate(F.lit(spec.start) if f.field == "type" else F.col(f.field), kinds[f.field], f.op, f.value, total=False))
     return rows.select("_ord", *(F.lit(spec.start).alias("type") if k == "type" else F.col(k) for k in kinds))
 
 
@@ -61,7 +61,7 @@ def _traverse(graph: PropertyGraph, spec: QuerySpec, rows: DataFrame) -> DataFra
         kinds = graph.catalog.node(step.target).kinds()
         target = graph.nodes(step.target)
         for f in step.filters:
-            target = target.where(predicate(F.lit(step.target) if f.field == "type" else F.col(f.field), kinds[f.field], f.op, f.value))
+            target = target.where(predicate(F.lit(step.target) if f.field == "type" else F.col(f.field), kinds[f.field], f.op, f.value, total=False))
         edges = graph.edges(step.relation)
         origin = pairs[step.origin].select("_start", F.col("_node").alias("src")) if step.origin else rows.select(F.col("id").alias("_start"), F.col("id").alias("src")).distinct()
         found = origin.join(edges.select("src", "dst"), "src").select("_start", F.col("dst").alias("_node")).distinct()
@@ -104,7 +104,7 @@ def _analyse(graph: PropertyGraph, spec: QuerySpec, rows: DataFrame) -> DataFram
         fields = graph.catalog.analyses[a.kind]["fields"]
         rows = rows.join(done[key].select("id", *(F.col(f).alias(f"{a.name}.{f}") for f in fields)), "id", "left")
         if a.constraint:
-            rows = rows.where(predicate(F.col(q(f"{a.name}.{a.constraint.field}")), "double", a.constraint.op, a.constraint.value))
+            rows = rows.where(predicate(F.col(q(f"{a.name}.{a.constraint.field}")), "double", a.constraint.op, a.constraint.value, total=False))
     return rows
 
 
@@ -139,7 +139,7 @@ def _group(spec: QuerySpec, rows: DataFrame) -> DataFrame:
     out = keyed.groupBy(*(f"_k{i}" for i in range(len(spec.group_by)))).agg(*(made(a).alias(a.name) for a in spec.aggregates or (_count_all(),)))
     out = out.withColumnsRenamed({f"_k{i}": key for i, key in enumerate(spec.group_by)})
     for h in spec.having:
-        out = out.where(predicate(F.col(q(h.field)), dict(out.dtypes)[h.field], h.op, h.value))
+        out = out.where(predicate(F.col(q(h.field)), dict(out.dtypes)[h.field], h.op, h.value, total=False))
     if spec.order_by:
         ways = [F.col(q(f)).desc_nulls_last() if down else F.col(q(f)).asc_nulls_last() for f, down in spec.order_by]
         out = out.orderBy(*ways, *(F.col(q(g)).asc_nulls_last() for g in spec.group_by))
