@@ -150,19 +150,21 @@ def candidate_rows(p: Parse, shared: np.ndarray, least: int) -> np.ndarray:
 
 
 def window_states(sizes: np.ndarray, bounds: np.ndarray, blocks: list[np.ndarray], least: int):
-    """Starts of the strings of ``least`` bytes whose inner phrases are shared; for each the name of those phrases, the name of the
-    phrases around it (0: not shared), and the phrase that it begins in."""
+    """Stretches of neighbouring strings of ``least`` bytes that have the same phrases inside, and the same around them, where the
+    inner phrases are shared: first start, number of starts, name of the inner phrases, name of the phrases around (0: not shared), and the
+    phrase that the strings begin in."""
+    none = np.zeros(0, np.int64)
     total = int(bounds[-1])
-    starts = np.concatenate(([0], np.cumsum(sizes)))[:-1] if len(sizes) else np.zeros(0, np.int64)
+    starts = np.concatenate(([0], np.cumsum(sizes)))[:-1] if len(sizes) else none
     flags = np.zeros(total + 1, bool)
     flags[starts] = True
-    upto = np.cumsum(flags)  # phrases that begin at or before a byte
+    upto = np.cumsum(flags, dtype=np.int32)  # phrases that begin at or before a byte
     table = np.stack(blocks) if blocks else np.zeros((1, 0), np.uint64)
     top = len(blocks) - 1
     ends = np.repeat(bounds[1:], np.diff(bounds))
     s = np.flatnonzero(np.arange(total) + least <= ends)
     if not len(s) or not len(sizes):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return none, none, none.astype(np.uint64), none.astype(np.uint64), none
 
     def interval(first, last):
         """The name of phrases first to last - 1, from two overlapping blocks that cover them; 0 if one is not shared."""
@@ -175,9 +177,24 @@ def window_states(sizes: np.ndarray, bounds: np.ndarray, blocks: list[np.ndarray
         # no suffix has a shared block of more phrases than the top level's two cover
         return np.where((n >= 1) & (n <= 2 * width) & (a != 0) & (b != 0), mix(joined(a, b) + n.astype(np.uint64)) | U64(1), U64(0))
 
-    inner = interval(upto[s + AHEAD - 1], upto[s + least - BEHIND - 1] - 1)
-    s, inner = s[inner != 0], inner[inner != 0]
-    return s, inner, interval(upto[s] - 1, np.minimum(upto[s + least - 1], len(sizes))), upto[s] - 1
+    marks = [upto[s + AHEAD - 1], upto[s + least - BEHIND - 1], upto[s], upto[s + least - 1]]
+    change = np.ones(len(s), bool)
+    change[1:] = s[1:] != s[:-1] + 1
+    for m in marks:
+        change[1:] |= m[1:] != m[:-1]
+    first = np.flatnonzero(change)
+    count = np.diff(np.append(first, len(s)))
+    at = [m[first].astype(np.int64) for m in marks]
+    inner = interval(at[0], at[1] - 1)
+    kept = np.flatnonzero(inner)
+    around = interval(at[2][kept] - 1, np.minimum(at[3][kept], len(sizes)))
+    return s[first[kept]], count[kept], inner[kept], around, at[2][kept] - 1
+
+
+def places_of(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """All starts of stretches."""
+    before = np.cumsum(count) - count
+    return np.repeat(first - before, count) + np.arange(int(count.sum()))
 
 
 def spans_of(starts: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -298,17 +315,18 @@ def dedupe(docs: DataFrame, *, text: str = "text", least: int = LEAST, as_text:
 
     def around_keys():
         def keys(blob):
-            _, _, around, phrase, _ = windows(blob)
+            _, _, _, around, phrase, _ = windows(blob)
             return whole_keys(runs_of(around, phrase), U64(0))[0], None
 
         return keys
 
     def around_told(shard, blobs, told):
-        s, _, around, phrase, total = windows(blobs[0])
+        first, count, _, around, phrase, total = windows(blobs[0])
         keys, counts, _ = whole_keys(runs_of(around, phrase), U64(0))
         several = np.append(bits_told(keys, told, 64, buckets) | (counts > 1), False)
         sure = np.zeros(total, bool)
-        sure[s[several[np.searchsorted(keys, around)] & (around != 0)]] = True
+        found = several[np.searchsorted(keys, around)] & (around != 0)
+        sure[places_of(first[found], count[found])] = True
         yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array(blobs, pa.binary()), pa.array([squeeze(np.packbits(sure))], pa.binary())], ["shard", "state", "sure"])
 
     told = answer(ask(state, around_keys, 64, buckets, "blob"))
@@ -317,23 +335,24 @@ def dedupe(docs: DataFrame, *, text: str = "text", least: int = LEAST, as_text:
 
     # Open strings are compared with each other and with the sure ones that have the inner phrases of an open one.
     def inner_names(state_blob, sure_blob):
-        s, inner, _, _, total = windows(state_blob)
+        first, count, inner, _, _, total = windows(state_blob)
         sure = np.unpackbits(unsqueeze(sure_blob, np.uint8), count=total).astype(bool)
+        certain = sure[first]  # the strings of a stretch are sure together
         keys, place = np.unique(inner, return_inverse=True)
-        return s, keys, place, sure[s], np.bincount(place, weights=~sure[s], minlength=len(keys)), sure
+        return first, count, keys, place, certain, np.bincount(place, weights=~certain, minlength=len(keys)), sure
 
     def inner_keys():
         def keys(state_blob, sure_blob):
-            _, keys, _, _, opened, _ = inner_names(state_blob, sure_blob)
+            _, _, keys, _, _, opened, _ = inner_names(state_blob, sure_blob)
             return keys, np.minimum(opened, 65535)
 
         return keys
 
     def inner_told(shard, blobs, told):
-        s, keys, place, certain, _, sure = inner_names(*blobs)
-        wanted = counts_told(keys, told, 64, buckets)[place] > 0 if len(s) else np.zeros(0, bool)
+        first, count, keys, place, certain, _, sure = inner_names(*blobs)
+        open_ = ~certain | (counts_told(keys, told, 64, buckets)[place] > 0) if len(first) else certain
         flags = np.stack([sure, np.zeros(len(sure), bool)])
-        flags[1, s[~certain | wanted]] = True
+        flags[1, places_of(first[open_], count[open_])] = True
         yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([squeeze(np.packbits(flags))], pa.binary())], ["shard", "blob"])
 
     told = answer(ask(sure, inner_keys, 64, buckets, "state", "sure"))
