@@ -64,10 +64,14 @@ def predicate(col: Column, kind: str, op: str, value=None, total: bool = True) -
 # Strings
 
 
+# Words that stand for a missing name.
+NULL_LIKE = ("", "nan", "none", "null", "-")
+
+
 def normalize_name(c: Column) -> Column:
     """Trimmed, blanks collapsed; empty and null-like words give null."""
     text = F.regexp_replace(F.trim(c), r"\s+", " ")
-    return F.when(F.lower(text).isin("", "nan", "none", "null", "-"), None).otherwise(text)
+    return F.when(F.lower(text).isin(*NULL_LIKE), None).otherwise(text)
 
 
 def name_key(c: Column) -> Column:

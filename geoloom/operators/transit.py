@@ -104,3 +104,45 @@ def earliest_arrivals(initial: DataFrame, calls: DataFrame, transfers: DataFrame
         ready = found.select("origin", "stop", "ready")
         best = best.unionByName(found.select("origin", "stop", "arrival", "vehicles"))
     return best.groupBy("origin", "stop").agg(F.min(F.struct("arrival", "vehicles")).alias("m")).select("origin", "stop", "m.arrival", "m.vehicles")
+
+
+LEG = "array<struct<kind:string,run:string,src:string,dst:string,dep:int,arr:int>>"
+
+
+def journeys(initial: DataFrame, calls: DataFrame, transfers: DataFrame, limit: int, max_transfers: int = 3) -> DataFrame:
+    """(origin, stop, arrival, vehicles, legs, ride_s, walk_s, wait_s) in the rounds of ``earliest_arrivals``, with the legs carried along.
+
+    Ties go to fewer vehicles, then to the least legs in order. Riding, walking and waiting sum to the time from being ready to arriving.
+    """
+    leg = lambda kind, run, src, dst, dep, arr: F.struct(F.lit(kind).alias("kind"), run.alias("run"), src.alias("src"), dst.alias("dst"), dep.alias("dep"), arr.alias("arr"))
+    ready = initial.select("origin", "stop", F.col("ready").cast("int"), F.col("ready").cast("int").alias("start"), F.array().cast(LEG).alias("legs"))
+    best = ready.select("origin", "stop", F.col("ready").alias("arrival"), F.lit(0).alias("vehicles"), "start", "legs")
+    on = calls.select(F.col("run").alias("r"), F.col("stop").alias("board"), F.col("dep").alias("bdep"), F.col("pos").alias("bpos"))
+    off = calls.select(F.col("run").alias("r"), F.col("stop").alias("alight"), "arr", "pos")
+    walk = transfers.select(F.col("src").alias("wsrc"), F.col("dst").alias("wdst"), "seconds")
+    for k in range(1, min(max_transfers, 3) + 2):
+        boarded = ready.join(on, (F.col("stop") == F.col("board")) & (F.col("bdep") >= F.col("ready"))).groupBy("origin", "r").agg(F.min(F.struct("bpos", "legs", "board", "bdep", "start")).alias("b"))
+        rides = boarded.join(off, "r").where((F.col("pos") > F.col("b.bpos")) & (F.col("arr") <= limit))
+        legs = F.concat(F.col("b.legs"), F.array(leg("ride", F.col("r"), F.col("b.board"), F.col("alight"), F.col("b.bdep"), F.col("arr"))))
+        rides = rides.groupBy("origin", F.col("alight").alias("stop")).agg(F.min(F.struct(F.col("arr").alias("arrival"), legs.alias("legs"), F.col("b.start").alias("start"))).alias("m")).select("origin", "stop", "m.*")
+        arrives = F.col("arrival") + F.col("seconds")
+        walks = rides.join(walk, F.col("stop") == F.col("wsrc")).where(arrives <= limit)
+        walks = walks.select("origin", F.col("wdst").alias("stop"), arrives.alias("arrival"), F.concat("legs", F.array(leg("walk", F.lit(None).cast("string"), F.col("wsrc"), F.col("wdst"), F.col("arrival"), arrives))).alias("legs"), "start")
+        both = rides.withColumn("ready", F.col("arrival") + INTERCHANGE).unionByName(walks.withColumn("ready", F.col("arrival")))
+        best = best.unionByName(both.select("origin", "stop", "arrival", F.lit(k).alias("vehicles"), "start", "legs"))
+        ready = both.groupBy("origin", "stop").agg(F.min(F.struct("ready", "legs", "start")).alias("m")).select("origin", "stop", "m.ready", "m.start", "m.legs")
+    out = best.groupBy("origin", "stop").agg(F.min(F.struct("arrival", "vehicles", "legs", "start")).alias("m")).select("origin", "stop", "m.*")
+    spent = lambda kind: F.aggregate(F.filter("legs", lambda x: x["kind"] == kind), F.lit(0), lambda s, x: s + x["arr"] - x["dep"])
+    out = out.withColumn("ride_s", spent("ride")).withColumn("walk_s", spent("walk"))
+    return out.withColumn("wait_s", F.col("arrival") - F.col("start") - F.col("ride_s") - F.col("walk_s")).drop("start")
+
+
+def itinerary(legs: F.Column) -> F.Column:
+    """The steps of a journey as text: board, ride and exit, or walk."""
+    step = lambda x: F.when(x["kind"] == "ride", F.concat(F.lit("ride "), x["run"], F.lit(" "), x["src"], F.lit(">"), x["dst"])).otherwise(F.concat(F.lit("walk "), x["src"], F.lit(">"), x["dst"]))
+    return F.array_join(F.transform(legs, step), "; ")
+
+
+def used_segments(found: DataFrame) -> DataFrame:
+    """Distinct rides (run, src, dst) of all journeys."""
+    return found.select(F.explode("legs").alias("x")).where("x.kind = 'ride'").select("x.run", "x.src", "x.dst").distinct()

@@ -416,6 +416,21 @@ def raptor_one_transfer(spark, sf_dir):
     return transit.earliest_arrivals(start, calls, transfers, fixtures.clock("12:00"), 3).select("stop", "arrival", "vehicles")
 
 
+@query("SELECT * FROM (VALUES ('A', '', 0, 0, 0), ('B', 'ride T1-2 A>B', 240, 0, 300), ('C', 'ride T1-2 A>C', 480, 0, 300), ('D', 'ride T1-2 A>B; ride T2-0 B>D', 480, 0, 480)) t(stop, steps, ride_s, walk_s, wait_s)")
+def transit_journeys(spark, sf_dir):
+    calls, transfers = _calls(spark, date(2026, 8, 20), date(2026, 8, 19))
+    start = spark.createDataFrame([("o", "A", fixtures.clock("10:00"))], "origin string, stop string, ready int")
+    found = transit.journeys(start, calls, transfers, fixtures.clock("12:00"), 3)
+    return found.select("stop", transit.itinerary(F.col("legs")).alias("steps"), "ride_s", "walk_s", "wait_s")
+
+
+@query("SELECT * FROM (VALUES ('T1-2', 'A', 'B'), ('T1-2', 'A', 'C'), ('T2-0', 'B', 'D')) t(run, src, dst)")
+def transit_used_segments(spark, sf_dir):
+    calls, transfers = _calls(spark, date(2026, 8, 20), date(2026, 8, 19))
+    start = spark.createDataFrame([("o", "A", fixtures.clock("10:00"))], "origin string, stop string, ready int")
+    return transit.used_segments(transit.journeys(start, calls, transfers, fixtures.clock("12:00"), 1))
+
+
 @query("SELECT * FROM (VALUES ('A', 1800), ('C', 4380), ('D', 4710)) t(stop, arrival)")
 def raptor_night(spark, sf_dir):
     calls, transfers = _calls(spark, date(2026, 8, 21), date(2026, 8, 20))

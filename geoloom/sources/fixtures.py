@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The grid, the rows where the barrier is open on foot, the areas, and the trips below.
 COLUMNS, ROWS, EDGE_M = 7, 5, 450.0
 
 
