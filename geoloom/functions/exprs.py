@@ -16,6 +16,8 @@ WHOLE = ("int", "bigint", "smallint", "tinyint")
 
 def _literal(value, kind: str) -> Column | None:
     """The value as the column's type, so that a scan can take the filter; None where no value of that type equals it."""
+    if kind.startswith("array"):
+        return F.array(*(F.lit(v) for v in value)).cast(kind) if isinstance(value, (list, tuple)) and all(isinstance(v, str) for v in value) else None
     if kind == "boolean":
         return F.lit(bool(value)) if isinstance(value, (bool, int, float)) and value in (0, 1) else None
     if kind in NUMERIC:
@@ -31,6 +33,8 @@ def _limit(col: Column, kind: str, value) -> tuple[Column, Column]:
         number = float(value)
     except (TypeError, ValueError):
         number = None
+    if kind.startswith(("array", "struct", "map")):
+        return F.lit(None).cast("double"), F.lit(number).cast("double")
     if kind in WHOLE and number is not None and number == int(number):
         return col, F.lit(int(number))
     side = col if kind in ("double", "float") else col.cast("double") if kind in NUMERIC or kind == "boolean" else col.try_cast("double")
@@ -123,6 +127,11 @@ def seconds_of_day(ts: Column) -> Column:
 EARTH_M = 6_371_000.0
 
 
+def in_range(lon: Column, lat: Column) -> Column:
+    """Usable degrees: numbers, no NaN, within the globe."""
+    return F.coalesce(~F.isnan(lon) & ~F.isnan(lat) & lon.between(-180, 180) & lat.between(-90, 90), F.lit(False))
+
+
 def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     p, q = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((q - p) / 2), 2) + F.cos(p) * F.cos(q) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .catalog import TRADE, Catalog
 from .errors import NotFoundError, QuerySpecError
-from .functions.exprs import share
+from .functions.exprs import predicate, share
+from .plans.spec import parse_filter
 
 
 def upsert(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -20,8 +21,8 @@ def upsert(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 class PropertyGraph:
-    def __init__(self, spark: SparkSession, catalog: Catalog, nodes: dict[str, Callable[[], DataFrame]], edges: dict[str, Callable[[], DataFrame]]):
-        self.spark, self.catalog, self._nodes, self._edges = spark, catalog, nodes, edges
+    def __init__(self, spark: SparkSession, catalog: Catalog, nodes: dict[str, Callable[[], DataFrame]], edges: dict[str, Callable[[], DataFrame]], analyses: dict[str, Callable] | None = None):
+        self.spark, self.catalog, self._nodes, self._edges, self.analyses = spark, catalog, nodes, edges, analyses
 
     def nodes(self, kind: str) -> DataFrame:
         self.catalog.node(kind)
@@ -43,8 +44,15 @@ class PropertyGraph:
         wanted = self.spark.createDataFrame([(x, i) for i, x in enumerate(ids)], "id string, _pos int")
         return self.nodes(kind).join(wanted, "id").withColumn("_ord", F.col("_pos").cast("long")).drop("_pos")
 
-    def page(self, kind: str, limit: int = 50, offset: int = 0) -> DataFrame:
-        return self.nodes(kind).orderBy("_ord").offset(offset).limit(min(limit, 1000))
+    def matching(self, kind: str, filters: list[dict] = ()) -> DataFrame:
+        kinds = self.catalog.node(kind).filterable()
+        rows = self.nodes(kind)
+        for f in (parse_filter(x, kinds, kind) for x in filters):
+            rows = rows.where(predicate(F.lit(kind) if f.field == "type" else F.col(f.field), kinds[f.field], f.op, f.value, total=False))
+        return rows
+
+    def page(self, kind: str, limit: int = 50, offset: int = 0, filters: list[dict] = ()) -> DataFrame:
+        return self.matching(kind, filters).orderBy("_ord").offset(offset).limit(min(limit, 1000))
 
     def all_edges(self, relations: list[str] | None = None) -> DataFrame:
         names = relations or [r for r, t in self.catalog.relations.items() if t.kind == "structural"]
@@ -67,6 +75,12 @@ class PropertyGraph:
             seen = seen.unionByName(frontier)
         return seen
 
+    def induced(self, nodes: DataFrame, relations: list[str] | None = None) -> DataFrame:
+        """Edges whose both ends are among ``nodes`` (column id)."""
+        ids = nodes.select("id").distinct()
+        edges = self.all_edges(relations)
+        return edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "relation")
+
     def node_counts(self) -> DataFrame:
         return reduce(DataFrame.unionByName, (self.nodes(k).groupBy().agg(F.count("*").alias("n")).select(F.lit(k).alias("type"), "n") for k in self.catalog.nodes))
 

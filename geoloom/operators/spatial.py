@@ -85,3 +85,25 @@ def interior_point(polygons: DataFrame) -> DataFrame:
     at = F.array_sort(F.transform(crossing, lambda e: e["a"]["x"] + (F.col("my") - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / (e["b"]["y"] - e["a"]["y"])))
     spans = F.transform(F.sequence(F.lit(1), F.floor(F.size("at") / 2).cast("int")), lambda i: F.struct((F.element_at("at", (2 * i).cast("int")) - F.element_at("at", (2 * i - 1).cast("int"))).alias("w"), ((F.element_at("at", (2 * i).cast("int")) + F.element_at("at", (2 * i - 1).cast("int"))) / 2).alias("x")))
     return hits.withColumn("at", at).select("area", F.array_max(spans)["x"].alias("x"), F.col("my").alias("y"))
+
+
+def touching(polygons: DataFrame, cell: float) -> DataFrame:
+    """(src, dst, shared): areas whose boundaries meet, be it in one point, both directions, with the length they share (0 for points).
+
+    Boundary segments meet in grid cells; each pair of segments counts once, however many cells it shares.
+    """
+    e = polygons.select("area", "ord", F.posexplode(edges_of(F.col("ring"))).alias("i", "e")).select("area", "ord", "i", *(F.col(f"e.{p}.{c}").alias(f"{p}{c}") for p in "ab" for c in "xy"))
+    span = lambda c: F.explode(F.sequence(F.floor(F.least(f"a{c}", f"b{c}") / cell), F.floor(F.greatest(f"a{c}", f"b{c}") / cell)))
+    tiles = e.select("*", span("x").alias("cx")).select("*", span("y").alias("cy"))
+    other = tiles.select("cx", "cy", F.col("area").alias("dst"), F.col("ord").alias("ord2"), F.col("i").alias("i2"), F.col("ax").alias("cx0"), F.col("ay").alias("cy0"), F.col("bx").alias("dx0"), F.col("by").alias("dy0"))
+    near = tiles.join(other, ["cx", "cy"]).where("ord < ord2").dropDuplicates(["area", "i", "dst", "i2"])
+    at = lambda p, x, y: (F.col("bx") - F.col("ax")) * (y - F.col("ay")) - (F.col("by") - F.col("ay")) * (x - F.col("ax")) if p == "ab" else (F.col("dx0") - F.col("cx0")) * (y - F.col("cy0")) - (F.col("dy0") - F.col("cy0")) * (x - F.col("cx0"))
+    sides = near.withColumns({"o1": at("ab", F.col("cx0"), F.col("cy0")), "o2": at("ab", F.col("dx0"), F.col("dy0")), "o3": at("cd", F.col("ax"), F.col("ay")), "o4": at("cd", F.col("bx"), F.col("by"))})
+    boxes = (F.least("ax", "bx") <= F.greatest("cx0", "dx0")) & (F.least("cx0", "dx0") <= F.greatest("ax", "bx")) & (F.least("ay", "by") <= F.greatest("cy0", "dy0")) & (F.least("cy0", "dy0") <= F.greatest("ay", "by"))
+    meet = sides.where(boxes & (F.signum("o1") * F.signum("o2") <= 0) & (F.signum("o3") * F.signum("o4") <= 0))
+    length = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    along = lambda x, y: ((F.col(x) - F.col("ax")) * (F.col("bx") - F.col("ax")) + (F.col(y) - F.col("ay")) * (F.col("by") - F.col("ay"))) / F.nullif(length, F.lit(0.0))
+    c, d = along("cx0", "cy0"), along("dx0", "dy0")
+    overlap = F.when((F.col("o1") == 0) & (F.col("o2") == 0), F.greatest(F.lit(0.0), F.least(length, F.greatest(c, d)) - F.greatest(F.lit(0.0), F.least(c, d)))).otherwise(0.0)
+    one = meet.groupBy(F.col("area").alias("src"), "dst").agg(F.sum(F.coalesce(overlap, F.lit(0.0))).alias("shared"))
+    return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "shared"))

@@ -24,11 +24,11 @@ def service_window(calendar: DataFrame, exceptions: DataFrame) -> DataFrame:
 
 
 def resolve_day(wanted: date, served: set[date], window: tuple[date, date]) -> date | None:
-    """The day itself, else within 14 days (later first), else inward from the nearer end of the window, up to 400 days."""
+    """The day itself, else within 14 days (later first), else inward from the start of the window (a day before it) or from its end, up to 400 days."""
     near = [wanted + timedelta(days=s * k) for k in range(15) for s in ((1,) if k == 0 else (1, -1))]
     first, last = window
-    edge = first if abs((wanted - first).days) <= abs((wanted - last).days) else last
-    far = [edge + timedelta(days=k if edge == first else -k) for k in range(401)]
+    before = wanted < first
+    far = [first + timedelta(days=k) if before else last - timedelta(days=k) for k in range(400)]
     return next((d for d in (*near, *far) if d in served), None)
 
 
@@ -50,7 +50,7 @@ def folded_calls(calls: DataFrame) -> DataFrame:
 
     def step(kept, c):
         last = F.try_element_at(kept, F.lit(-1))
-        fine = last.isNull() | ((last["stop"] != c["stop"]) & (c["arr"] >= last["dep"]))
+        fine = last.isNull() | ((last["stop"] != c["stop"]) & (c["dep"] >= last["dep"]))
         return F.when(fine, F.concat(kept, F.array(c))).otherwise(kept)
 
     typed = calls.select("trip", F.col("seq").cast("int"), F.col("stop").cast("string"), F.col("arr").cast("int"), F.col("dep").cast("int"))
@@ -70,7 +70,7 @@ def minimal_transfers(official: DataFrame, geometric: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.min(F.coalesce("seconds", F.lit(INTERCHANGE))).alias("seconds"))
 
 
-def geometric_transfers(near: DataFrame, speed: float = 1.333) -> DataFrame:
+def geometric_transfers(near: DataFrame, speed: float = 4.8 / 3.6) -> DataFrame:
     return near.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.greatest((F.col("distance") / speed).cast("int"), F.lit(INTERCHANGE)).alias("seconds"))
 
 
@@ -91,9 +91,10 @@ def earliest_arrivals(initial: DataFrame, calls: DataFrame, transfers: DataFrame
 
     A ride boards the earliest call at or after the ready time; after a ride a change takes 90 s at the platform, after a walk none.
     """
-    best = initial.select("origin", "stop", F.col("ready").alias("arrival"), F.lit(0).alias("vehicles"))
-    ready = initial.select("origin", "stop", "ready")
-    on = calls.select(F.col("run").alias("r"), F.col("stop").alias("board"), F.col("dep").alias("bdep"), F.col("pos").alias("bpos"))
+    walked = initial.join(transfers, F.col("stop") == F.col("src")).select("origin", F.col("dst").alias("stop"), (F.col("ready") + F.col("seconds")).alias("ready")).where(F.col("ready") <= limit)
+    ready = initial.select("origin", "stop", "ready").unionByName(walked).groupBy("origin", "stop").agg(F.min("ready").alias("ready"))
+    best = ready.select("origin", "stop", F.col("ready").alias("arrival"), F.lit(0).alias("vehicles"))
+    on = calls.where(F.col("dep") <= limit).select(F.col("run").alias("r"), F.col("stop").alias("board"), F.col("dep").alias("bdep"), F.col("pos").alias("bpos"))
     off = calls.select(F.col("run").alias("r"), F.col("stop").alias("alight"), "arr", "pos")
     for k in range(1, min(max_transfers, 3) + 2):
         boarded = ready.join(on, (F.col("stop") == F.col("board")) & (F.col("bdep") >= F.col("ready"))).groupBy("origin", "r").agg(F.min("bpos").alias("bpos"))
@@ -116,10 +117,13 @@ def journeys(initial: DataFrame, calls: DataFrame, transfers: DataFrame, limit:
     """
     leg = lambda kind, run, src, dst, dep, arr: F.struct(F.lit(kind).alias("kind"), run.alias("run"), src.alias("src"), dst.alias("dst"), dep.alias("dep"), arr.alias("arr"))
     ready = initial.select("origin", "stop", F.col("ready").cast("int"), F.col("ready").cast("int").alias("start"), F.array().cast(LEG).alias("legs"))
-    best = ready.select("origin", "stop", F.col("ready").alias("arrival"), F.lit(0).alias("vehicles"), "start", "legs")
-    on = calls.select(F.col("run").alias("r"), F.col("stop").alias("board"), F.col("dep").alias("bdep"), F.col("pos").alias("bpos"))
+    on = calls.where(F.col("dep") <= limit).select(F.col("run").alias("r"), F.col("stop").alias("board"), F.col("dep").alias("bdep"), F.col("pos").alias("bpos"))
     off = calls.select(F.col("run").alias("r"), F.col("stop").alias("alight"), "arr", "pos")
     walk = transfers.select(F.col("src").alias("wsrc"), F.col("dst").alias("wdst"), "seconds")
+    at = (F.col("ready") + F.col("seconds")).cast("int")
+    walked = ready.join(walk, F.col("stop") == F.col("wsrc")).where(at <= limit).select("origin", F.col("wdst").alias("stop"), at.alias("ready"), "start", F.array(leg("walk", F.lit(None).cast("string"), F.col("wsrc"), F.col("wdst"), F.col("ready"), at)).cast(LEG).alias("legs"))
+    ready = ready.unionByName(walked).groupBy("origin", "stop").agg(F.min(F.struct("ready", "legs", "start")).alias("m")).select("origin", "stop", "m.ready", "m.start", "m.legs")
+    best = ready.select("origin", "stop", F.col("ready").alias("arrival"), F.lit(0).alias("vehicles"), "start", "legs")
     for k in range(1, min(max_transfers, 3) + 2):
         boarded = ready.join(on, (F.col("stop") == F.col("board")) & (F.col("bdep") >= F.col("ready"))).groupBy("origin", "r").agg(F.min(F.struct("bpos", "legs", "board", "bdep", "start")).alias("b"))
         rides = boarded.join(off, "r").where((F.col("pos") > F.col("b.bpos")) & (F.col("arr") <= limit))

@@ -323,8 +323,8 @@ def _accessibility(graph, origins, params):
     budget = routing.budget_m(minutes, routing.SPEED_KMH[mode])
     k = F.col("key")
     services = graph.nodes("Supplier").select(k.alias("service"), "category", (k % 35).alias("node"), (k * 37 % 600).cast("double").alias("distance_m")).where("distance_m <= 500")
-    if params.get("target_category"):
-        services = services.where(F.col("category") == params["target_category"])
+    if params.get("category"):
+        services = services.where(F.col("category") == params["category"])
     costs = routing.shortest_paths(seeds, routing.symmetric(fixtures.grid_edges(graph.spark, mode)), budget)
     found = routing.reachable_services(costs, services, budget).groupBy(F.col("origin").alias("id")).agg(F.count("*").alias("count"), F.min("distance_m").alias("nearest_m"))
     return origins.join(found, "id", "left").select("id", F.coalesce("count", F.lit(0)).alias("count"), "nearest_m", F.lit(float(minutes)).alias("minutes"))
@@ -344,25 +344,28 @@ def poorest_access(spark, sf_dir):
 _two = "w AS (SELECT o, sum(n) FILTER (category = 'cat1') AS good, sum(n) FILTER (category = 'cat2') AS poor FROM pf WHERE m = 'bike' GROUP BY o)"
 
 
-@query(_with_profile.rstrip() + f", {_two} SELECT o AS area, good::BIGINT AS good, poor::BIGINT AS poor, (good - poor)::BIGINT AS gap FROM w WHERE good >= (SELECT median(good) FROM w) AND poor < (SELECT median(poor) FROM w)")
+@query(_with_profile.rstrip() + f", {_two} SELECT o AS area, good::BIGINT AS good, poor::BIGINT AS poor, (good - poor)::BIGINT AS gap FROM w WHERE good >= (SELECT median(good) FROM w) AND poor <= (SELECT median(poor) FROM w)")
 def median_threshold_gap(spark, sf_dir):
     return questions.median_gap(_profiles(spark, sf_dir), "cat1", "cat2", "bike")
 
 
-@query(_with_profile.rstrip() + ", t AS (SELECT o, sum(n) AS total FROM pf WHERE m = 'walk' GROUP BY o) SELECT a.n_nationkey AS src, b.n_nationkey AS dst, x.total::BIGINT AS a_total, y.total::BIGINT AS b_total, abs(x.total - y.total)::BIGINT AS difference, round(greatest(x.total, y.total)::DOUBLE / nullif(least(x.total, y.total), 0), 3) AS ratio FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey JOIN t x ON x.o = a.n_nationkey JOIN t y ON y.o = b.n_nationkey")
+_essential = [f"cat{i}" for i in range(6)]
+
+
+@query(_with_profile.rstrip() + ", d AS (SELECT a.n_nationkey AS src, b.n_nationkey AS dst, x.category, x.n AS an, y.n AS bn FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey JOIN pf x ON x.o = a.n_nationkey AND x.m = 'walk' AND x.category < 'cat6' JOIN pf y ON y.o = b.n_nationkey AND y.m = 'walk' AND y.category = x.category) SELECT src, dst, sum(an)::BIGINT AS a_total, sum(bn)::BIGINT AS b_total, abs(sum(an) - sum(bn))::BIGINT AS difference, round(greatest(sum(an), sum(bn))::DOUBLE / nullif(least(sum(an), sum(bn)), 0), 2) AS ratio, arg_min(category, (-abs(an - bn), category)) AS widest, max(abs(an - bn))::BIGINT AS widest_gap FROM d GROUP BY src, dst")
 def adjacent_contrast(spark, sf_dir):
     pairs = trade_graph(spark, sf_dir).edges("ADJACENT_TO").select(*(F.split(c, ":")[1].cast("int").alias(c) for c in ("src", "dst")))
-    return questions.adjacent_contrasts(_profiles(spark, sf_dir), pairs, "walk")
+    return questions.adjacent_contrasts(_profiles(spark, sf_dir), pairs, "walk", _essential)
 
 
-@query(_with_profile + "SELECT category, round(avg(n), 4) AS mean, round(stddev_pop(n), 4) AS stdev, round(stddev_pop(n) / nullif(avg(n), 0), 4) AS cv, min(n) AS low, max(n) AS high, count(*) FILTER (n = 0) AS zeros, arg_min(o, (n, o)) AS worst, arg_min(o, (-n, o)) AS best FROM pf WHERE m = 'bike' GROUP BY category")
+@query(_with_profile + "SELECT category, round(avg(n), 1) AS mean, round(stddev_pop(n), 1) AS stdev, round(stddev_pop(n) / nullif(avg(n), 0), 3) AS cv, min(n) AS low, max(n) AS high, count(*) FILTER (n = 0) AS zeros, arg_min(o, (n, o)) AS worst, arg_min(o, (-n, -o)) AS best FROM pf WHERE m = 'bike' AND category < 'cat6' GROUP BY category")
 def category_cv(spark, sf_dir):
-    return questions.category_inequality(_profiles(spark, sf_dir), "bike")
+    return questions.category_inequality(_profiles(spark, sf_dir), "bike", _essential)
 
 
-@query(_with_profile + "SELECT o AS area, sum(n) FILTER (m = 'walk')::BIGINT AS base_total, sum(n) FILTER (m = 'bike')::BIGINT AS other_total, (sum(n) FILTER (m = 'bike') - sum(n) FILTER (m = 'walk'))::BIGINT AS gain, round((sum(n) FILTER (m = 'bike'))::DOUBLE / nullif(sum(n) FILTER (m = 'walk'), 0), 3) AS multiplier FROM pf GROUP BY o")
+@query(_with_profile + "SELECT o AS area, 'bike' AS mode, sum(n) FILTER (m = 'walk')::BIGINT AS base_total, sum(n) FILTER (m = 'bike')::BIGINT AS other_total, (sum(n) FILTER (m = 'bike') - sum(n) FILTER (m = 'walk'))::BIGINT AS gain, round((sum(n) FILTER (m = 'bike'))::DOUBLE / nullif(sum(n) FILTER (m = 'walk'), 0), 2) AS multiplier, count(*) FILTER (m = 'bike' AND n > 0) - count(*) FILTER (m = 'walk' AND n > 0) AS completeness_gain, true AS best FROM pf WHERE category < 'cat6' GROUP BY o")
 def mode_gain(spark, sf_dir):
-    return questions.mode_gain(_profiles(spark, sf_dir), "walk", "bike")
+    return questions.mode_gain(_profiles(spark, sf_dir), "walk", ["bike"], _essential)
 
 
 @query(_with_profile.rstrip() + ", z AS (SELECT k AS o, arg_max(urgent, y) AS people FROM (" + _years + ") GROUP BY k), st AS (SELECT n_nationkey AS o, count(s_suppkey) AS stops FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1), j AS (SELECT z.o, people, (SELECT sum(n) FROM pf WHERE pf.o = z.o AND m = 'bike' AND category = 'cat5') AS reached, stops FROM z JOIN st ON st.o = z.o) SELECT o::INT AS area, people, reached::BIGINT AS reached, stops FROM j WHERE people > (SELECT median(people) FROM j) AND reached < (SELECT median(reached) FROM j) AND stops < (SELECT median(stops) FROM j)")

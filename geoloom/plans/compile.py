@@ -7,6 +7,7 @@ query names is kept: a count, a list of one field, or a semi or anti join for me
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,19 +56,32 @@ def _referenced(spec: QuerySpec, step: str) -> set[str]:
     return {p.split(".", 1)[1] for p in used if p.startswith(f"{step}.")}
 
 
+def _targets(graph: PropertyGraph, step) -> DataFrame:
+    """What a step may lead to, filtered: one type, or several with the fields of the first (null where a type lacks one)."""
+    kinds = graph.catalog.node(step.targets[0]).kinds()
+    parts = []
+    for name in step.targets:
+        rows = graph.nodes(name).withColumn("_type", F.lit(name))
+        own = graph.catalog.node(name).kinds()
+        cols = [(F.col(k) if k in own else F.lit(None)).cast(t).alias(k) for k, t in kinds.items() if k not in ("id", "type")]
+        rows = rows.select("id", "_ord", "_type", *cols) if len(step.targets) > 1 else rows
+        for f in step.filters:
+            rows = rows.where(predicate(F.col("_type") if f.field == "type" else F.col(f.field), kinds[f.field], f.op, f.value, total=False))
+        parts.append(rows)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _traverse(graph: PropertyGraph, spec: QuerySpec, rows: DataFrame) -> DataFrame:
     pairs: dict[str, DataFrame] = {}
     for step in spec.steps:
-        kinds = graph.catalog.node(step.target).kinds()
-        target = graph.nodes(step.target)
-        for f in step.filters:
-            target = target.where(predicate(F.lit(step.target) if f.field == "type" else F.col(f.field), kinds[f.field], f.op, f.value, total=False))
+        kinds = graph.catalog.node(step.targets[0]).kinds()
+        target = _targets(graph, step)
         edges = graph.edges(step.relation)
         origin = pairs[step.origin].select("_start", F.col("_node").alias("src")) if step.origin else rows.select(F.col("id").alias("_start"), F.col("id").alias("src")).distinct()
         found = origin.join(edges.select("src", "dst"), "src").select("_start", F.col("dst").alias("_node")).distinct()
         wanted = _referenced(spec, step.name)
         fields = [k for k in kinds if k in wanted and k not in ("id", "type")]
-        found = found.join(target.select(F.col("id").alias("_node"), F.col("_ord").alias("_tord"), *(F.col(f).alias(f"_f_{f}") for f in fields)), "_node")
+        found = found.join(target.select(F.col("id").alias("_node"), F.col("_ord").alias("_tord"), F.col("_type"), *(F.col(f).alias(f"_f_{f}") for f in fields)), "_node")
         pairs[step.name] = found
         low, high = step.min_count, step.max_count
         if "count" not in wanted and (low, high) == (1, None):
@@ -83,7 +97,7 @@ def _traverse(graph: PropertyGraph, spec: QuerySpec, rows: DataFrame) -> DataFra
                 rows = rows.where(F.col(q(f"{step.name}.count")) <= high)
         lists = [k for k in kinds if k in wanted]
         if lists:
-            value = {"id": F.col("_node"), "type": F.lit(step.target)}
+            value = {"id": F.col("_node"), "type": F.col("_type")}
             packed = F.array_sort(F.collect_list(F.struct("_tord", "_node", *(value.get(k, F.col(f"_f_{k}") if k in fields else None).alias(k) for k in lists))))
             collected = found.groupBy(F.col("_start").alias("id")).agg(packed.alias("_l"))
             collected = collected.select("id", *(F.col("_l")[k].alias(f"{step.name}.{k}") for k in lists))
@@ -100,11 +114,12 @@ def _analyse(graph: PropertyGraph, spec: QuerySpec, rows: DataFrame) -> DataFram
     for a in spec.analyses:
         key = (a.kind, tuple(sorted(a.params.items())))
         if key not in done:
-            done[key] = ANALYSES[a.kind](graph, rows.select("id").distinct(), a.params)
+            done[key] = (graph.analyses or ANALYSES)[a.kind](graph, rows.select("id").distinct(), a.params)
         fields = graph.catalog.analyses[a.kind]["fields"]
-        rows = rows.join(done[key].select("id", *(F.col(f).alias(f"{a.name}.{f}") for f in fields)), "id", "left")
+        rows = rows.join(done[key].select("id", *(F.col(q(f)).alias(f"{a.name}.{f}") for f in fields)), "id", "left")
         if a.constraint:
-            rows = rows.where(predicate(F.col(q(f"{a.name}.{a.constraint.field}")), "double", a.constraint.op, a.constraint.value, total=False))
+            path = f"{a.name}.{a.constraint.field}"
+            rows = rows.where(predicate(F.col(q(path)), spec.paths[path], a.constraint.op, a.constraint.value, total=False))
     return rows
 
 
@@ -171,7 +186,8 @@ def _ungrouped(spec: QuerySpec, rows: DataFrame) -> DataFrame:
     rows = rows.orderBy(*ways, "_ord")
     if spec.returned:
         return rows.select(*(_column(spec, p).alias(p) for p in spec.returned))
-    shown = [c for c in rows.columns if not c.startswith("_") and "." not in c and c not in ("geometry", "type")]
+    hidden = ("type",) if spec.include_geometry else ("geometry", "type")
+    shown = [c for c in rows.columns if not c.startswith("_") and "." not in c and c not in hidden]
     counts = [F.col(q(f"{s.name}.count")).alias(f"{s.name}_count") for s in spec.steps]
     fields = [F.col(q(c)).alias(c) for c in rows.columns if any(c.startswith(f"{a.name}.") for a in spec.analyses)]
     return rows.select(*(F.col(q(c)) for c in shown), *counts, *fields)

@@ -23,7 +23,7 @@ class Filter:
 class Step:
     name: str
     relation: str
-    target: str
+    targets: tuple[str, ...]
     origin: str | None
     filters: tuple[Filter, ...]
     min_count: int | None
@@ -60,6 +60,7 @@ class QuerySpec:
     rank: tuple[str, bool] | None = None
     limit: int = DEFAULT_LIMIT
     returned: tuple[str, ...] = ()
+    include_geometry: bool = False
     paths: dict = field(default_factory=dict)
 
 
@@ -80,12 +81,13 @@ def parse(raw: dict, catalog: Catalog) -> QuerySpec:
     if not isinstance(raw, dict) or not isinstance(raw.get("start"), dict):
         raise QuerySpecError("a query needs a start object with a type")
     start = catalog.node(raw["start"].get("type"))
-    filters = tuple(parse_filter(f, start.kinds(), start.name) for f in raw["start"].get("filters", ()))
+    filters = tuple(parse_filter(f, start.filterable(), start.name) for f in raw["start"].get("filters", ()))
     steps: list[Step] = []
     names: dict[str, str] = {start.name: start.name}
-    if len(raw.get("traverse", ())) > MAX_STEPS or len(raw.get("analyses", raw.get("where", ()))) > MAX_ANALYSES:
+    asked = [*(raw.get("analyses") or ()), *(raw.get("where") or ())]
+    if len(raw.get("traverse") or ()) > MAX_STEPS or len(asked) > MAX_ANALYSES:
         raise QuerySpecError("too many steps or analyses", max_steps=MAX_STEPS, max_analyses=MAX_ANALYSES)
-    for s in raw.get("traverse", ()):
+    for s in raw.get("traverse") or ():
         relation = catalog.relation(s.get("relation"))
         if relation.kind == "analytical":
             raise QuerySpecError(f"{relation.name} is analytical: ask for it under analyses", known=sorted(catalog.analyses))
@@ -93,50 +95,84 @@ def parse(raw: dict, catalog: Catalog) -> QuerySpec:
         from_type = names.get(origin or start.name)
         if from_type is None or from_type not in relation.sources:
             raise QuerySpecError(f"{relation.name} does not start at {origin or start.name}", allowed=list(relation.sources))
-        target = s.get("target") or (relation.targets[0] if len(relation.targets) == 1 else None)
-        if target not in relation.targets:
-            raise QuerySpecError(f"{relation.name} does not lead to {target}", allowed=list(relation.targets))
+        told = s.get("target_type") or s.get("target")
+        if told and told not in relation.targets:
+            raise QuerySpecError(f"{relation.name} does not lead to {told}", allowed=list(relation.targets))
+        # without a type, all that the relation leads to; fields are then those of the first type
+        targets = (told,) if told else tuple(relation.targets)
+        target = targets[0]
         name = s.get("as") or target
         if name in names:
             raise QuerySpecError(f"the name {name!r} is taken", taken=sorted(names))
         names[name] = target
-        kinds = catalog.node(target).kinds()
-        steps.append(Step(name, relation.name, target, origin if origin != start.name else None, tuple(parse_filter(f, kinds, target) for f in s.get("filters", ())), s.get("min_count"), s.get("max_count")))
+        steps.append(Step(name, relation.name, targets, origin if origin != start.name else None, tuple(parse_filter(f, catalog.node(target).filterable(), target) for f in s.get("filters", ())), s.get("min_count"), s.get("max_count")))
     paths = dict(start.kinds()) | {f"{start.name}.{f}": k for f, k in start.kinds().items()}
     for s in steps:
         paths[f"{s.name}.count"] = "bigint"
-        paths |= {f"{s.name}.{f}": f"array<{k}>" for f, k in catalog.node(s.target).kinds().items()}
+        paths |= {f"{s.name}.{f}": f"array<{k}>" for f, k in catalog.node(s.targets[0]).kinds().items()}
     analyses = []
-    for a in raw.get("analyses", raw.get("where", ())):
-        kind = a.get("analysis", "accessibility")
+    for a in asked:
+        kind = a.get("analysis") or a.get("type") or "accessibility"
         if kind not in catalog.analyses:
             raise QuerySpecError(f"unknown analysis {kind!r}", known=sorted(catalog.analyses))
-        told, name = catalog.analyses[kind], a.get("as", kind)
-        if a.get("mode") not in told["modes"] or not 0 < a.get("minutes", 15) <= 60:
+        told, name = catalog.analyses[kind], a.get("as") or f"{kind}_{len(names)}"
+        if name in names:
+            raise QuerySpecError(f"the name {name!r} is taken", taken=sorted(names))
+        names[name] = kind
+        if start.name not in told.get("applies_to", (start.name,)):
+            raise QuerySpecError(f"{kind} applies to {', '.join(told['applies_to'])}, not {start.name}")
+        params = {"mode": "walk"} | {k: a[k] for k in told["parameters"] if a.get(k) is not None}
+        category = a.get("category", a.get("target_category"))
+        if category is not None:
+            if category not in told.get("categories", (category,)):
+                raise QuerySpecError(f"unknown category {category!r}", known=list(told["categories"]))
+            params["category"] = category
+        minutes = params.get("minutes", 15)
+        if params["mode"] not in told["modes"] or not isinstance(minutes, (int, float)) or not 0 < minutes <= 60:
             raise QuerySpecError("an analysis needs a known mode and 0 < minutes <= 60", modes=told["modes"])
-        constraint = None
-        if "operator" in a:
+        kinds = told["fields"]
+        constraint, test = None, a.get("constraint")
+        if test is None and "operator" in a:
             # the longest operator that the shorthand ends in, so that count_not_in is count, not_in
             op = max((o for o in FILTERS if a["operator"].endswith(f"_{o}") or a["operator"] == o), key=len, default=None)
-            column = a.get("field") or (a["operator"][: -len(op) - 1] if op else None)
-            constraint = parse_filter({"field": column, "op": op, "value": a.get("value")}, dict.fromkeys(told["fields"], "double"), kind)
-        analyses.append(Analysis(name, kind, {k: a[k] for k in told["parameters"] if k in a}, constraint))
-        paths |= {f"{name}.{f}": "double" for f in told["fields"]}
+            test = {"field": a.get("field") or (a["operator"][: -len(op) - 1] if op else None), "op": op, "value": a.get("value")}
+        if test is not None:
+            constraint = parse_filter(test, kinds, kind)
+        analyses.append(Analysis(name, kind, params, constraint))
+        paths |= {f"{name}.{f}": k for f, k in kinds.items()}
 
     def known(path):
         if path not in paths:
             raise QuerySpecError(f"unknown path {path!r}", known=sorted(paths))
         return path
 
-    group_by = tuple(known(p) for p in raw.get("group_by", ()))
+    geometry = bool(raw.get("include_geometry", False))
+    group_by = tuple(known(p) for p in raw.get("group_by") or ())
+    nested = [p for p in group_by if paths[p].startswith(("array<array", "struct", "map"))]
+    if nested:
+        raise QuerySpecError(f"cannot group by {nested[0]!r}: its values are lists of lists", known=sorted(paths))
+    asked_made = raw.get("aggregates", raw.get("aggregate")) or ()
+    if isinstance(asked_made, dict):
+        # the object form: a value a row over the nodes of a step
+        if group_by or raw.get("having") or raw.get("order_by"):
+            raise QuerySpecError("group_by, having and order_by need a list of aggregates")
+        if not all(isinstance(d, dict) for d in asked_made.values()):
+            raise QuerySpecError("an aggregate is an object with op and of")
+        asked_made = [{"function": d.get("op"), "field": d.get("of"), "as": k} for k, d in asked_made.items()]
+        asked_made = [a | {"field": f"{a['field']}.id"} if a["field"] in names and a["field"] != start.name and a["function"] == "count" else a for a in asked_made]
+    elif "aggregate" in raw and not group_by:
+        raise QuerySpecError("a list of aggregates needs group_by", known=sorted(paths))
     made = []
-    for a in raw.get("aggregates", ()):
-        function, path = a.get("function", "count"), a.get("field")
-        path = None if path in (None, "*") else known(path)
-        if function not in FUNCTIONS or (path is None and function != "count"):
+    for a in asked_made:
+        function, path = a.get("function") or a.get("op") or "count", a.get("field")
+        if function not in FUNCTIONS or (path in (None, "*") and function != "count"):
             raise QuerySpecError(f"unknown aggregate {function!r}", known=list(FUNCTIONS))
+        path = None if path in (None, "*") else known(path)
         if function in ("sum", "avg", "min", "max") and paths[path].removeprefix("array<").rstrip(">") not in NUMERIC:
-            raise QuerySpecError(f"{function} needs a number, {path} is {paths[path]}")
+            numbers = sorted(p for p, k in paths.items() if k.removeprefix("array<").rstrip(">") in NUMERIC)
+            raise QuerySpecError(f"{function} needs a number, {path} is {paths[path]}", field=path, valid_fields=numbers)
+        if not group_by and not (paths[path].startswith("array") if path else steps):
+            raise QuerySpecError(f"without group_by, {function} works on a field of a step", known=sorted(p for p, k in paths.items() if k.startswith("array")))
         name = a.get("as") or (function if path is None else f"{function}_{path.replace('.', '_')}")
         if name in [m.name for m in made] or name in group_by:
             raise QuerySpecError(f"the name {name!r} is taken")
@@ -144,19 +180,29 @@ def parse(raw: dict, catalog: Catalog) -> QuerySpec:
     grouped = bool(group_by)
     results = {**{g: paths[g] for g in group_by}, **{m.name: "double" for m in made}} if grouped else paths | {m.name: "double" for m in made}
     order = []
-    for o in raw.get("order_by", ()):
+    for o in raw.get("order_by") or ():
         if o.get("field") not in results:
             raise QuerySpecError(f"cannot order by {o.get('field')!r}", known=sorted(results))
-        order.append((o["field"], o.get("order", "asc") == "desc"))
+        way = o.get("direction", o.get("order", "asc"))
+        if way not in ("asc", "desc"):
+            raise QuerySpecError(f"the direction is asc or desc, not {way!r}")
+        order.append((o["field"], way == "desc"))
     rank = raw.get("rank")
     if rank and (grouped or rank.get("by") not in results):
         raise QuerySpecError("rank takes a known path of an ungrouped query", known=sorted(results))
+    returned = tuple(raw.get("return") or ())
+    for p in returned:
+        if p not in results:
+            raise QuerySpecError(f"unknown path {p!r}", known=sorted(results))
+        if not geometry and p.rsplit(".", 1)[-1] == "geometry":
+            raise QuerySpecError("geometry is returned only with include_geometry")
     limit = raw.get("limit", DEFAULT_LIMIT)
+    limit = int(limit) if isinstance(limit, str) and limit.isdecimal() else limit
     if not isinstance(limit, int) or isinstance(limit, bool) or limit < 1:
         raise QuerySpecError("limit is a whole number from 1 on")
     ids = raw["start"].get("ids")
     return QuerySpec(
         start.name, tuple(ids) if ids else None, filters, tuple(steps), tuple(analyses), group_by, tuple(made) if grouped else (), () if grouped else tuple(made),
-        tuple(parse_filter(h, {m.name: "double" for m in made} | {g: paths[g] for g in group_by}, "the result") for h in raw.get("having", ())),
-        tuple(order), (rank["by"], rank.get("order", "desc") == "desc") if rank else None, min(limit, MAX_LIMIT), tuple(p if p in results else known(p) for p in raw.get("return", ())), paths,
+        tuple(parse_filter(h, {m.name: "double" for m in made} | {g: paths[g] for g in group_by}, "the result") for h in raw.get("having") or ()),
+        tuple(order), (rank["by"], rank.get("order", "desc") == "desc") if rank else None, min(limit, MAX_LIMIT), returned, geometry, paths,
     )

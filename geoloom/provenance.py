@@ -44,7 +44,7 @@ def fields_of(raw: dict, catalog: Catalog) -> dict[str, dict]:
         if head in analyses:
             return {"classification": "dynamic", "analysis": analyses[head].kind, "parameters": analyses[head].params}
         if head in steps:
-            kind = steps[head].target
+            kind = steps[head].targets[0]
             return {"classification": "derived" if tail == "count" else catalog.node(kind).source, "types": [spec.start, kind], "relations": trail(head)}
         return {"classification": catalog.node(spec.start).source, "types": [spec.start]}
 
@@ -54,7 +54,7 @@ def fields_of(raw: dict, catalog: Catalog) -> dict[str, dict]:
 
 def query_provenance(raw: dict, catalog: Catalog) -> dict:
     spec = parse(raw, catalog)
-    types = list(dict.fromkeys([spec.start, *(s.target for s in spec.steps)]))
+    types = list(dict.fromkeys([spec.start, *(t for s in spec.steps for t in s.targets)]))
     return {
         "types": {t: catalog.node(t).source for t in types},
         "relations": [relation_provenance(catalog, r) for r in dict.fromkeys(s.relation for s in spec.steps)],

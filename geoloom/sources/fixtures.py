@@ -68,3 +68,64 @@ def timetable(spark: SparkSession) -> dict[str, DataFrame]:
         "exceptions": spark.createDataFrame([("weekday", special, 2), ("weekend", special, 1)], "service string, date date, type int"),
         "transfers": spark.createDataFrame([("C", "D", 330), ("D", "C", 330)], "src string, dst string, seconds int"),
     }
+
+
+# Fixed values of a small city: areas by their corners, residents, services (category, name, lon, lat), stops, routes, schools, accidents.
+CITY_AREAS = [("area:a", "Fixture West", "a", 7.57, 7.59), ("area:b", "Fixture East", "b", 7.59, 7.61)]
+SOUTH, NORTH = 47.55, 47.565
+RESIDENTS = [("a", 2024, 10000, 2000, 2200, 6000, 2000, 500), ("a", 2025, 10200, 2100, 2300, 6000, 2100, 520), ("b", 2024, 4000, 400, 450, 2600, 1000, 260), ("b", 2025, 4100, 420, 470, 2650, 1030, 270)]
+SERVICES = [
+    ("grocery", "Fixture Grocery West", 7.5745, 47.5505),
+    ("grocery", "Fixture Grocery Centre", 7.5865, 47.5585),
+    ("grocery", "Fixture Grocery East", 7.6045, 47.5585),
+    ("pharmacy", "Fixture Pharmacy Centre", 7.5805, 47.5585),
+    ("pharmacy", "Fixture Pharmacy East", 7.6045, 47.5625),
+    ("healthcare", "Fixture Practice", 7.5865, 47.5545),
+    ("school", "Fixture School One", 7.582, 47.557),
+    ("school", "Fixture School Two", 7.6, 47.558),
+    ("park", None, 7.5745, 47.5585),
+    ("sport", "Fixture Sports Hall", 7.5925, 47.5505),
+    ("library", "Fixture Library", 7.5805, 47.5545),
+    ("culture", "Fixture Museum", 7.5865, 47.5625),
+]
+STOPS = [("stopA", "Fixture A", 47.55, 7.574), ("stopB", "Fixture B", 47.55, 7.592), ("stopC", "Fixture C", 47.558, 7.604), ("stopD", "Fixture D", 47.562, 7.604)]
+ROUTES = [("T1", "8", "Fixture tram line", 900, "Fixture Transit"), ("T2", "30", "Fixture bus line", 700, "Fixture Transit"), ("W1", "2", "Fixture weekend tram", 900, "Fixture Transit"), ("N1", "N1", "Fixture night bus", 700, "Fixture Transit")]
+SCHOOLS = [("school:1", 7.582, 47.557), ("school:2", 7.6, 47.558)]
+ACCIDENTS = [("accident:1", 7.583, 47.558), ("accident:2", 7.584, 47.556), ("accident:3", 7.601, 47.559)]
+WEST, STEP_LON, STEP_LAT = 7.574, 0.006, 0.004
+
+
+def city_network(spark: SparkSession, mode: str) -> tuple[DataFrame, DataFrame]:
+    """The grid in degrees; lengths are left open, so that they come from the nodes' places."""
+    prefix = {"walk": "fixture"}.get(mode, mode)
+    name = lambda n: F.concat_ws(":", F.lit(prefix), n % COLUMNS, F.floor(n / COLUMNS))
+    k = F.col("node")
+    nodes = grid_nodes(spark).select(name(k).alias("node"), (F.lit(WEST) + (k % COLUMNS) * STEP_LON).alias("lon"), (F.lit(SOUTH) + F.floor(k / COLUMNS) * STEP_LAT).alias("lat"))
+    return nodes, grid_edges(spark, mode).select(name(F.col("u")).alias("u"), name(F.col("v")).alias("v"), F.lit(None).cast("double").alias("length_m"))
+
+
+def city(spark: SparkSession):
+    """The small city as inputs of the graph builder."""
+    from ..city import City
+
+    corners = lambda w, e: [{"x": x, "y": y} for x, y in ((w, SOUTH), (e, SOUTH), (e, NORTH), (w, NORTH), (w, SOUTH))]
+    areas_ = spark.createDataFrame([(a, i, name, wov, corners(w, e)) for i, (a, name, wov, w, e) in enumerate(CITY_AREAS)], "area string, ord int, name string, wov_id string, ring array<struct<x:double,y:double>>")
+    services = [(f"service:{c}:fixture:{i}", i, c, name, lon, lat, "synthetic fixture") for i, (c, name, lon, lat) in enumerate(SERVICES)]
+    t = timetable(spark)
+    station = F.concat(F.lit("stop"), F.col("stop"))
+    t |= {
+        "stop_times": t["stop_times"].withColumn("stop", station),
+        "transfers": t["transfers"].select(F.concat(F.lit("stop"), "src").alias("src"), F.concat(F.lit("stop"), "dst").alias("dst"), "seconds"),
+        "stops": spark.createDataFrame(STOPS, "stop string, name string, lat double, lon double"),
+        "routes": spark.createDataFrame(ROUTES, "route string, short_name string, long_name string, route_type int, agency string"),
+    }
+    return City(
+        spark,
+        areas_,
+        spark.createDataFrame(RESIDENTS, "wov_id string, year int, total long, children long, young long, working_age long, elderly long, elderly_80_plus long"),
+        spark.createDataFrame(services, "id string, ord long, category string, name string, lon double, lat double, source string"),
+        {m: city_network(spark, m) for m in ("walk", "bike")},
+        t,
+        spark.createDataFrame(SCHOOLS, "id string, lon double, lat double"),
+        spark.createDataFrame(ACCIDENTS, "id string, lon double, lat double"),
+    )
