@@ -31,7 +31,10 @@ def zip_member(spark: SparkSession, path: str, member: str, columns: list[str])
     def rows(batches):
         for batch in batches:
             for content in batch.column(0):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z, z.open(member) as raw:
+                z = zipfile.ZipFile(io.BytesIO(content.as_py()))
+                if member not in z.namelist():  # optional files may be missing
+                    continue
+                with z.open(member) as raw:
                     held: list[list] = []
                     for r in csv.DictReader(io.TextIOWrapper(raw, "utf-8-sig", newline="")):
                         held.append([r.get(c) for c in columns])
