@@ -1,7 +1,8 @@
 """A corpus pipeline over ``documents``.
 
 Language ID drops what it rejects; of near copies one stays; repeated passages are cut out; the sources
-are mixed in Pfair order (the order of the rows in the written files); the texts are encoded.
+are mixed in Pfair order (the order of the rows in the written files); the texts are encoded, each with its
+``rank``, the place that the mix gave it. Equal rows may exchange their ranks.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 from geoloom.llm import bpe, jaccard, langid, mixing, repeats
 from geoloom.llm.common import Stages
 
+#: The weight of each source in the mix; None: the square root of its rows.
+TARGETS: dict[str, float] | None = None
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.recognised(docs)
@@ -28,11 +32,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.in_mixed_order(docs)
+    return mixing.in_mixed_order(docs, targets=TARGETS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True)
+    ranked = mixing.with_rank(docs)
+    return bpe.encode(ranked, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True, carry=("rank",))
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("repeated_passages", repeated_passages), ("mix", mix), ("encode", encode)]

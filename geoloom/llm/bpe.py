@@ -122,16 +122,19 @@ def digests(ids: bytes, codec: Codec) -> tuple[int, str, str]:
     return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, *, key: str = "doc_id", text: str = "text", chunk: int = 65_536, overlap: int = 1_024, keep_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, *, key: str = "doc_id", text: str = "text", chunk: int = 65_536, overlap: int = 1_024, keep_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row a text: token count, digests of ids and decoded bytes, and the ids where ``keep_ids`` asks for them.
 
+    The columns named in ``carry`` go along with their rows.
+
     Texts over ``chunk`` + ``overlap`` characters are cut by Spark into chunk rows, which any tasks encode, and
     stitched text by text; equal long texts are encoded once. The ranks (a fixed file) are broadcast.
     """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    source = docs.select(F.col(key).alias("__key"), whole_text(text).alias("__text"))
+    source = docs.select(F.col(key).alias("__key"), whole_text(text).alias("__text"), *carry)
     key_type = source.schema[0].dataType.simpleString()
+    along = "".join(f", `{c}` {source.schema[c].dataType.simpleString()}" for c in carry)
     extra = ", ids binary" if keep_ids else ""
 
     def short():
@@ -144,7 +147,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, key: str = "doc_id
                     ids = b"".join(codec.id_bytes(codec.split(x.as_py())))
                     rows.append((*digests(ids, codec), *([ids] if keep_ids else ())))
                 kinds = [pa.int64(), pa.string(), pa.string(), *([pa.binary()] if keep_ids else ())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["__key", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else ())])
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["__key", *carry, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else ())])
 
         return step
 
@@ -189,13 +192,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, key: str = "doc_id
         return pa.Table.from_pylist([got])
 
     limit = chunk + overlap
-    done = map_arrow(source.where(F.length("__text") <= limit), short, f"__key {key_type}, {SCHEMA}{extra}")
+    done = map_arrow(source.where(F.length("__text") <= limit), short, f"__key {key_type}{along}, {SCHEMA}{extra}")
     long = source.where(F.length("__text") > limit).withColumn("d", F.sha2("__text", 256))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("__text") - overlap - 1), F.lit(chunk))
     rows = long.dropDuplicates(["d"]).select("d", "__text", F.explode(starts).alias("a")).select("d", F.col("a").cast("long"), F.substring("__text", F.col("a") + 1, F.lit(limit)).alias("part"))
     encoded = map_arrow(rows.repartition("d", "a"), cut, "d string, a long, part string, sizes array<int>, ids binary, id_sizes array<int>")
     joined = encoded.groupBy("d").applyInArrow(stitch, f"d string, {SCHEMA}{extra}")
-    whole = long.select("__key", "d").join(joined, "d").drop("d")
+    whole = long.select("__key", *carry, "d").join(joined, "d").drop("d")
     return done.unionByName(whole.select(done.columns)).withColumnRenamed("__key", key)
 
 

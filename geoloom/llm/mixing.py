@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,6 +122,30 @@ def in_mixed_order(df: DataFrame, **options) -> DataFrame:
     return ordered.select(*(F.col(f"c_{c}").alias(c) for c in df.columns))
 
 
+def part_number(path: str) -> tuple:
+    """Orders the files of one table as they were written: part-<task>-<job>-c<file of the task>."""
+    found = re.search(r"part-(\d+)(?:-.*?-c(\d+))?[^/]*$", path)
+    if not found:
+        raise ValueError(f"no part number: {path}")
+    return int(found[1]), int(found[2] or 0), path
+
+
+def with_rank(df: DataFrame, rank: str = "rank") -> DataFrame:
+    """``df``, a table as it was read from its files, with each row's place (from 0) in the order ``in_mixed_order`` wrote.
+
+    Writers number their files by range: the order is that of the part numbers, then of the rows in a file,
+    however a reader splits or packs the files. The driver holds one row a file.
+    """
+    found = {r[0]: r[1] for r in df.groupBy(F.col("_metadata.file_path")).count().collect()}
+    start, starts = 0, []
+    for path in sorted(found, key=part_number):
+        starts.append((path, start))
+        start += found[path]
+    starts = df.sparkSession.createDataFrame(starts, "__path string, __start long")
+    placed = df.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
+    return placed.join(F.broadcast(starts), "__path").select(*df.columns, (F.col("__start") + F.col("__row")).alias(rank))
+
+
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix_sources(docs.select("doc_id", "source", "n_chars")).select("doc_id", "source", "block", "slot", "place")

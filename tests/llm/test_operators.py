@@ -314,3 +314,28 @@ def test_pipeline(spark, sf):
     assert seen == sorted(seen, reverse=True) and seen[2] == seen[3] == seen[4]
     near = {r["doc_id"] for r in jaccard.classes(spark.read.parquet(f"{sf}/documents.parquet")).where(F.col("doc_id") == F.col("component_id")).collect()}
     assert {r["doc_id"] for r in docs.collect()} <= near
+
+
+def test_pipeline_mix(spark, monkeypatch):
+    import corpus_pipeline
+
+    # the mix and what follows; the last text is cut into chunks
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])
+    rows = [(i, f"text {i} " * (20_000 if i == 999 else 1), f"s{i % 4 if i % 2 else 0}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    root = Stages(spark, "t").root
+    docs.write.parquet(f"{root}/documents.parquet")
+    seen = []
+    for targets in (None, {"s0": 1.0, "s1": 3.0, "s3": 9.0}):
+        monkeypatch.setattr(corpus_pipeline, "TARGETS", targets)
+        got = corpus_pipeline.run(spark, root).select("doc_id", "rank", "n_tokens").collect()
+        assert sorted(r["rank"] for r in got) == list(range(1000)) and all(r["n_tokens"] for r in got)
+        mixed = mixing.mix_sources(docs.withColumnsRenamed({c: f"c_{c}" for c in docs.columns}), targets, source="c_source").orderBy("slot", "place").collect()
+        assert [r["doc_id"] for r in sorted(got, key=lambda r: r["rank"])] == [r["c_doc_id"] for r in mixed]
+        seen.append({(r["doc_id"], r["rank"]) for r in got})
+    assert seen[0] != seen[1]
+
+
+def test_rank_of_files():
+    names = ["part-00000-a-c000.x", "part-00002-a-c000.x", "part-00002-a-c001.x", "part-00010-a-c000.x", "part-99999-a-c000.x", "part-100000-a-c000.x"]
+    assert sorted(reversed([f"file:/t/{n}" for n in names]), key=mixing.part_number) == [f"file:/t/{n}" for n in names]
