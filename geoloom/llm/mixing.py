@@ -1,10 +1,10 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 A source's rows, in seeded random order, form blocks. While a set of sources is active, source ``s`` with
-integer weight ``a`` of a total ``A`` gets one block in each window [floor(iA/a), ceil((i+1)A/a)): these
+exact weight ``a`` of a total ``A`` gets one block in each window [floor(iA/a), ceil((i+1)A/a)): these
 are the releases and deadlines of its blocks, and earliest-deadline-first serves one block a slot, so at
-every slot each source is less than one block away from its target. The schedule repeats after ``A``
-slots, so the driver computes one period only. When a source has given all its blocks, the others go on
+every slot each source is less than one block away from its target. Weights are the targets as exact fractions,
+brought to whole numbers; the driver gives out the slots of all blocks. When a source has given all its blocks, the others go on
 with their weights against the new total: no row is dropped or repeated.
 
 Defined results: a null source is a source of its own, sorted by the name ``""`` with a flag; null texts
@@ -16,67 +16,86 @@ result column's name.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import re
+from array import array
+from collections.abc import Iterator
+from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Stages
 
 
-def period(weights: dict[str, int]) -> list[str]:
-    """The sources of one period's slots, by earliest deadline among released blocks (ties: by name)."""
-    total, out = sum(weights.values()), []
+def served(weights: dict[str, int]) -> Iterator[str]:
+    """The source of each slot, without end, by earliest deadline among released blocks (ties: by name)."""
+    total = sum(weights.values())
     waiting = [(0, -(-total // a), s, 0) for s, a in weights.items()]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    for slot in range(total):
+    for slot in itertools.count():
         while waiting and waiting[0][0] <= slot:
             _, deadline, s, i = heapq.heappop(waiting)
             heapq.heappush(ready, (deadline, s, i))
         deadline, s, i = heapq.heappop(ready)
         if deadline <= slot:
             raise ArithmeticError("a block missed its deadline")
-        out.append(s)
-        if (i := i + 1) < (a := weights[s]):
-            heapq.heappush(waiting, (i * total // a, -(-(i + 1) * total // a), s, i))
-    return out
+        yield s
+        i, a = i + 1, weights[s]
+        heapq.heappush(waiting, (i * total // a, -(-(i + 1) * total // a), s, i))
+
+
+def period(weights: dict[str, int]) -> list[str]:
+    """The sources of one period's slots."""
+    return list(itertools.islice(served(weights), sum(weights.values())))
 
 
-def integer_weights(targets: dict[str, float], resolution: int) -> dict[str, int]:
-    whole = sum(targets.values())
-    return {s: max(1, round(resolution * w / whole)) for s, w in targets.items()}
+def integer_weights(targets: dict[str, float | Fraction]) -> dict[str, int]:
+    """Whole numbers in exactly the ratio of the targets, of any size."""
+    exact = {s: Fraction(w) for s, w in targets.items()}
+    whole = math.lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * whole) for s, w in exact.items()}
 
 
-def phases(weights: dict[str, int], blocks: dict[str, int]) -> list[dict]:
-    """One row for each phase and source active in it: blocks first to end are served from slot start on."""
-    left, served, start, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
+def slots(weights: dict[str, int], blocks: dict[str, int]) -> dict[str, array]:
+    """The slot of each block of each source; when a source ends, a new schedule of the others begins."""
+    left, start, out = {s: n for s, n in blocks.items() if n}, 0, {s: array("q") for s in blocks}
     while left:
         active = {s: weights[s] for s in sorted(left)}
         divisor = math.gcd(*active.values())
-        active = {s: a // divisor for s, a in active.items()}
-        slots, at = period(active), {s: [] for s in active}
-        for k, s in enumerate(slots):
-            at[s].append(k)
-        total = len(slots)
-        span = min((left[s] - 1) // a * total + at[s][(left[s] - 1) % a] + 1 for s, a in active.items())
-        full, rest = divmod(span, total)
-        for s, a in active.items():
-            n = full * a + sum(k < rest for k in at[s])
-            out.append({"s": s, "first": served[s], "end": served[s] + n, "start": start, "a": a, "total": total, "at": at[s]})
-            served[s] += n
-            left[s] -= n
-        left = {s: n for s, n in left.items() if n}
-        start += span
+        for slot, s in enumerate(served({s: a // divisor for s, a in active.items()}), start):
+            out[s].append(slot)
+            left[s] -= 1
+            if not left[s]:
+                del left[s]
+                start = slot + 1
+                break
     return out
 
 
-def mix_sources(df: DataFrame, targets: dict[str, float] | None = None, *, source: str = "source", block_rows: int = 64, resolution: int = 1000, seed: int = 29, part_rows: int = 20_000, salts: int = 16) -> DataFrame:
+def plan_table(spark: SparkSession, given: dict[str, array], run: int) -> DataFrame:
+    """The slots as rows of ``run`` blocks of a source."""
+    sources, runs, parts, ends = [], [], [], [0]
+    for s, at in given.items():
+        for k in range(0, len(at), run):
+            sources.append(s)
+            runs.append(k // run)
+            ends.append(ends[-1] + min(run, len(at) - k))
+        parts.append(np.frombuffer(at, np.int64))
+    values = np.concatenate(parts) if parts else np.empty(0, np.int64)
+    at = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), values)
+    return spark.createDataFrame(pa.table({"__s": pa.array(sources, pa.string()), "__run": pa.array(runs, pa.int64()), "__at": at}))
+
+
+def mix_sources(df: DataFrame, targets: dict[str, float] | None = None, *, source: str = "source", block_rows: int = 64, seed: int = 29, part_rows: int = 20_000, run_blocks: int = 64) -> DataFrame:
     """``df`` with ``block`` (of its source), ``slot`` (of the block in the mix, gapless) and ``place`` (in the block).
 
-    ``targets``: a weight for each source name (those not named weigh 1 in a million of the total); without it a source weighs the
-    square root of its rows. The driver holds one row a source and phase, and one period of slots a phase.
+    ``targets``: a weight for each source name (those not named, or named with 0, weigh 1 in a million of the total); without it
+    a source weighs the square root of its rows. The driver holds 8 bytes a block and takes some microseconds for it.
     """
     spark, stages = df.sparkSession, Stages(df.sparkSession, "mixing")
     columns = [c for c in df.columns if not c.startswith("__") and c not in ("block", "slot", "place")]
@@ -92,14 +111,10 @@ def mix_sources(df: DataFrame, targets: dict[str, float] | None = None, *, sourc
     if targets is None:
         wanted = {s: math.sqrt(n) for s, n in counts.items()}
     else:
-        floor = sum(targets.values()) / 1e6
-        wanted = {s: targets.get(s[1:] if s[0] == "1" else None, floor) for s in counts}
-    weights = integer_weights(wanted, max(resolution, 4 * len(counts))) if counts else {}
-    plan = phases(weights, {s: -(-n // block_rows) for s, n in counts.items()})
-    served = spark.createDataFrame(
-        [(p["s"], k, p["first"], p["end"], p["start"], p["a"], p["total"], p["at"]) for p in plan for k in range(salts)],
-        "__s string, __salt long, __first long, __end long, __from long, __a long, __total long, __at array<long>",
-    )
+        floor = sum(map(Fraction, targets.values())) / 1_000_000 or 1
+        wanted = {s: targets.get(s[1:] if s[0] == "1" else None, 0) or floor for s in counts}
+    given = slots(integer_weights(wanted), {s: -(-n // block_rows) for s, n in counts.items()})
+    plan = plan_table(spark, given, run_blocks)
     local = Window.partitionBy("__s", "__part").orderBy("__h")
     ranked = (
         rows.withColumn("__r", F.row_number().over(local) - 1)
@@ -107,12 +122,10 @@ def mix_sources(df: DataFrame, targets: dict[str, float] | None = None, *, sourc
         .withColumn("__r", F.col("__r") + F.col("__start"))
         .withColumn("block", F.floor(F.col("__r") / block_rows).cast("long"))
         .withColumn("place", (F.col("__r") % block_rows).cast("int"))
-        .withColumn("__salt", F.pmod("block", F.lit(salts)))
+        .withColumn("__run", F.floor(F.col("block") / run_blocks).cast("long"))
     )
-    i = F.col("block") - F.col("__first")
-    slot = F.col("__from") + F.floor(i / F.col("__a")) * F.col("__total") + F.element_at("__at", (i % F.col("__a") + 1).cast("int"))
-    within = (F.col("block") >= F.col("__first")) & (F.col("block") < F.col("__end"))
-    return ranked.join(served, ["__s", "__salt"]).where(within).select(*columns, "block", slot.cast("long").alias("slot"), "place")
+    slot = F.element_at("__at", (F.col("block") % run_blocks + 1).cast("int"))
+    return ranked.join(plan, ["__s", "__run"]).select(*columns, "block", slot.cast("long").alias("slot"), "place")
 
 
 def in_mixed_order(df: DataFrame, **options) -> DataFrame:

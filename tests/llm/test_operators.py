@@ -7,6 +7,7 @@ import re
 import struct
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -95,6 +96,34 @@ def test_pfair_deviation(seed):
         assert all(abs(given[x] - k * a / total) < 1 for x, a in weights.items())
 
 
+def test_mixing_targets():
+    # op9's square-root targets with a hot source, small targets and one in a million, over a long run
+    roots = {"hot": 4_000_000**0.5} | {f"s{i}": (400_000 + 997 * i) ** 0.5 for i in range(19)}
+    small = {"a": 0.7, "b": 0.2996, "c": 0.0001, "d": 1e-6}
+    for targets in (roots, small):
+        whole = sum(map(Fraction, targets.values()))
+        share = {s: Fraction(w) / whole for s, w in targets.items()}
+        weights = mixing.integer_weights(targets)
+        given = mixing.slots(weights, {s: int(150_000 * p) + 1 for s, p in share.items()})
+        assert sorted(k for at in given.values() for k in at) == list(range(sum(map(len, given.values()))))
+        first = min(at[-1] for s, at in given.items() if len(at) > 1)
+        for s, at in given.items():
+            for i, slot in enumerate(at):
+                if slot > first:
+                    break
+                assert i - slot * share[s] < 1 and i + 1 - (slot + 1) * share[s] < 1 and (slot * share[s] - i) < 1
+
+
+def test_mixing_plan(spark):
+    rows = [(i, "a" if i % 3 else "b" if i % 2 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string").repartition(3)
+    targets = {"a": 0.0, "b": 0.9999}
+    given = mixing.slots(mixing.integer_weights({"1a": Fraction(0.9999) / 1_000_000, "1b": 0.9999, "0": Fraction(0.9999) / 1_000_000}), {"1a": 1000, "1b": 250, "0": 250})
+    got = mixing.mix_sources(df, targets, block_rows=2, run_blocks=16).collect()
+    assert len(got) == 3000
+    assert all(given["0" if r["source"] is None else "1" + r["source"]][r["block"]] == r["slot"] for r in got)
+
+
 def test_licenses(docs, none, rows):
     got = {(r["doc_id"]): r for r in licenses.scan_licenses(docs).collect()}
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
