@@ -1,6 +1,7 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-Blocks are the lines of a text, templates are sets of words. A block matches when it holds at least
+Blocks are the lines of a text and, for notices wrapped over lines, its windows of as many words as the
+template has; templates are sets of words. A block matches when it holds at least
 ``threshold`` of a template's words. Template words are ordered by how many texts of the whole table hold
 them, rarest first; a block that matches must hold one of the template's first |T| - a + 1 words
 (a: the least overlap), have a words or more, and from the first shared word on leave room for a shared
@@ -77,6 +78,7 @@ class Index:
             for at, w in enumerate(ordered[: len(ordered) - least + 1]):
                 self.lists.setdefault(w, []).append((t, at))
         self.prefix = frozenset(self.lists)
+        self.lengths = [len(t.split()) for t in templates.values()]
 
     def match(self, words: set[bytes]) -> dict[str, float]:
         """Labels and containments of the templates that a block of these words matches."""
@@ -98,6 +100,29 @@ class Index:
                     found[label] = n / len(ordered)
         return found
 
+    def windows(self, words: list[bytes]) -> dict[str, float]:
+        """Labels and best containments of the templates that a window of the text's words matches, whatever its lines."""
+        present, found = set(words), {}
+        for (label, ordered, least), length in zip(self.templates, self.lengths, strict=True):
+            own = present.intersection(ordered)
+            if len(own) < least:
+                continue
+            places = [(i, w) for i, w in enumerate(words) if w in own]
+            held: dict[bytes, int] = {}
+            best = first = 0
+            for i, w in places:
+                held[w] = held.get(w, 0) + 1
+                while places[first][0] <= i - length:
+                    left = places[first][1]
+                    first += 1
+                    held[left] -= 1
+                    if not held[left]:
+                        del held[left]
+                best = max(best, len(held))
+            if best >= least:
+                found[label] = best / len(ordered)
+        return found
+
 
 def base_places(words: list[bytes], phrases: dict[bytes, str]) -> list[tuple[int, str]]:
     """Places (in words) and labels of the base phrases."""
@@ -130,8 +155,9 @@ def scan_licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", t
             labels, best = {label for _, label in places}, 1.0 if places else 0.0
             base = ",".join(sorted(labels))
             if known:
-                for line in raw.translate(LINES).split(b"\n"):
-                    for label, share in index.match(set(line.split())).items():
+                blocks = (index.match(set(line.split())) for line in raw.translate(LINES).split(b"\n"))
+                for matched in (*blocks, index.windows(words)):
+                    for label, share in matched.items():
                         labels.add(label)
                         best = max(best, share)
             at = [p for p, _ in places]

@@ -145,6 +145,19 @@ def test_licenses(docs, none, rows):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    wrapped = {
+        "bsd-notice": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
+        "mpl-notice": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy",
+        "lgpl-notice": "This library is free software; under the\nGNU Lesser General\nPublic License",
+    }
+    apart = "\n".join(w + " x" * 13 for w in licenses.TEMPLATES["bsd-notice"].split())
+    one_line = apart.replace("\n", " ")  # words of one line, however far apart, match as before
+    df = spark.createDataFrame([*wrapped.items(), ("", apart), ("bsd-notice ", one_line)], "doc_id string, text string")
+    got = licenses.scan_licenses(df).collect()
+    assert len(got) == 5 and all(r["labels"] == r["doc_id"].strip() and (r["score"] >= 0.8) == bool(r["labels"]) for r in got)
+
+
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
