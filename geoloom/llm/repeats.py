@@ -1,17 +1,14 @@
-"""Removal of repeated passages by merging shard Burrows-Wheeler transforms.
-
-Every byte covered by a string of ``least`` bytes that also starts anywhere else is removed. The alphabet of
-the transforms is made of phrases: texts are cut at window minima of hashed 8-grams, so equal passages are
-cut alike, whatever stands around them. A suffix is named by the block of suffixes that share its first h
-phrases; the suffixes of a shard, sorted by block, are the shard's row of the merged order.
-
-The merge refines the interleave in rounds. In a round each shard pairs the block of a suffix with the block
-that precedes it in the transform h phrases back (the LF step, taken h phrases at a time, so that h
-doubles), and all shards are asked which of the new blocks they share: a block that only one suffix has is
-an interval of one, has no repeat, and is refined no further. Suffixes are never sorted again as a whole;
-the common prefixes of neighbours in the merged order are the spans of the blocks that stayed shared.
-Rounds end when the blocks span ``least`` bytes. Blocks keep their hashes as names, for no result depends
-on which of two blocks comes first.
+"""Removal of repeated passages by hash-named prefix doubling over content-defined phrases.
+
+This stands in for a merge of shard Burrows-Wheeler transforms: no transform or rank is built, no suffix is
+sorted, nothing is interleaved and no common prefix is computed. Every byte covered by a string of ``least``
+bytes that also starts anywhere else is removed. Texts are cut into phrases at window minima of hashed
+8-grams, so equal passages are cut alike, whatever stands around them. A suffix is named by a hash, its
+block, of its first h phrases; a shard holds its suffixes in text order.
+
+In a round each block is paired with the block h phrases on in the text, so that h doubles, and all shards
+are asked which of the new blocks they share: a block that only one suffix has has no repeat, and is
+followed no further. Rounds end when the blocks span ``least`` bytes.
 
 From the shared blocks follows, for each byte, whether the string of ``least`` bytes that starts there is
 repeated for sure (the phrases around it are one shared interval), certainly not (the phrases inside it are
