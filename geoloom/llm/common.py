@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Temporary folders of local applications that name no shared one. Executors of ``local[n]`` are this machine.
+_MADE: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
     told = spark.conf.get("spark.checkpoint.dir", None)
@@ -19,9 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
         return told.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="geoloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    name = spark.sparkContext.applicationId
+    if name not in _MADE:
+        _MADE[name] = "file://" + tempfile.mkdtemp(prefix="geoloom-")
+    return _MADE[name]
 
 
 @contextlib.contextmanager

@@ -68,6 +68,23 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, (offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64))
 
 
+#: Bytes that separate words: blanks, tabs and line ends.
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def words_in(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of each word of the rows with these bounds; no word crosses a row's end."""
+    word = ~BLANK[data]
+    first, last = word.copy(), word.copy()
+    inner = bounds[(bounds > 0) & (bounds < len(data))]
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    first[inner] |= word[inner]
+    last[inner - 1] |= word[inner - 1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
 def to_blob(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:

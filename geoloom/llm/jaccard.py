@@ -25,13 +25,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import Stages
-from .exchange import U64, Spans, answer, ask, bits_told, counts_told, from_blob, mix, pack, sized, text_bytes, with_answers
+from .exchange import U64, Spans, answer, ask, bits_told, counts_told, from_blob, mix, pack, sized, text_bytes, with_answers, words_in
 from .links import components
 
-BLANK = np.zeros(256, bool)
-BLANK[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Rounds in which pivots of other classes are tried before all pairs of different classes are compared.
@@ -56,14 +55,7 @@ def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
 
 def sets_in(data: np.ndarray, bounds: np.ndarray, n: int) -> list[np.ndarray]:
     data = LOWER[data]
-    word = ~BLANK[data]
-    first, last = word.copy(), word.copy()
-    inner = bounds[(bounds > 0) & (bounds < len(data))]
-    first[1:] &= ~word[:-1]
-    last[:-1] &= ~word[1:]
-    first[inner] |= word[inner]
-    last[inner - 1] |= word[inner - 1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    starts, ends = words_in(data, bounds)
     words = Spans(data).hash(starts, ends)
     cuts = np.searchsorted(starts, bounds)
     grams = np.zeros(max(0, len(words) - n + 1), np.uint64)
@@ -87,22 +79,21 @@ def least_shared(size: np.ndarray | int, percent: int):
     return -(-(size * percent) // 100)
 
 
-def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """One row a text: ``n_shingles`` and ``component_id``, the least key reachable by links of Jaccard similarity ``percent`` / 100 or more."""
-    spark, stages = docs.sparkSession, Stages(docs.sparkSession, "jaccard")
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    shards = stages.keep(pack(rows, "text"), "shards")
+def class_rows(stages: Stages, shards: DataFrame, text: str, n: int, percent: int) -> DataFrame:
+    """One row for each row of the shards (which hold ``id`` and ``text``): its ``shard`` and ``row`` there, ``id``, ``n`` shingles, ``mark``
+    (a hash of the text), ``print`` (of its set; null: no shingles), ``class`` (the least print of its class) and ``least`` (id of the class)."""
     total = shards.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     bits, buckets = sized(total, 6.0)
     shift = U64(64 - bits)
 
     # Which shingles occur in one text only? A text with more than a fifth of such is linked with nothing.
     def keys_in_texts():
-        return lambda blob: (distinct_keys(shingle_sets(from_blob(blob).column("text"), n), shift), None)
+        return lambda blob: (distinct_keys(shingle_sets(from_blob(blob).column(text), n), shift), None)
 
     def tell_texts(shard, blobs, told):
         batch = from_blob(blobs[0])
-        sets = shingle_sets(batch.column("text"), n)
+        sets = shingle_sets(batch.column(text), n)
+        marks = [xxhash.xxh3_64_intdigest(x.as_py() or "") - (1 << 63) for x in batch.column(text)]
         keys, counts = shard_keys(sets, shift)
         several = bits_told(keys, told, bits, buckets) | (counts > 1)
         here: set[bytes] = set()
@@ -114,13 +105,13 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int
             kept.append(s.tobytes() if fresh else None)
             if fresh:
                 here.add(prints[-1])
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(kept, pa.binary())], ["id", "n", "print", "hashes"])
+        columns = [pa.array([shard] * len(sets), pa.int64()), pa.array(range(len(sets)), pa.int64()), batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.int64()), pa.array(prints, pa.binary()), pa.array(kept, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["shard", "row", "id", "n", "mark", "print", "hashes"])
 
     questions = ask(shards, keys_in_texts, bits, buckets, "blob")
-    told = with_answers(shards, answer(questions), tell_texts, "id long, n long, print binary, hashes binary", "blob")
+    told = with_answers(shards, answer(questions), tell_texts, "shard long, row long, id long, n long, mark long, print binary, hashes binary", "blob")
     told = stages.keep(told, "told")
-    stages.drop("shards")
-    texts = told.select("id", "n", "print")
+    texts = told.drop("hashes")
 
     # The classes of equal sets that are left, asked again with counts.
     left = told.where("hashes is not null").select("print", "hashes").dropDuplicates(["print"])
@@ -170,12 +161,30 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int
     comp = linked(stages, members, index, percent)
     smallest = texts.where("print is not null").groupBy("print").agg(F.min("id").alias("own"))
     joined = found.select("set", "print").join(comp.withColumnRenamed("node", "set"), "set").join(smallest, "print")
-    reach = joined.join(joined.groupBy("comp").agg(F.min("own").alias("reached")), "comp").select("print", "reached")
-    whole = smallest.join(reach, "print", "left").select("print", F.coalesce("reached", "own").alias("least"))
-    result = texts.join(whole, "print", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("print").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
-    result = stages.keep(result, "result")
-    stages.drop_all_but("result")
-    return result
+    reach = joined.join(joined.groupBy("comp").agg(F.min("own").alias("reached"), F.min("print").alias("class")), "comp").select("print", "reached", "class")
+    whole = smallest.join(reach, "print", "left").select("print", F.coalesce("reached", "own").alias("least"), F.coalesce("class", "print").alias("class"))
+    whole = stages.keep(whole, "whole")
+    alone = texts.where("print is null").withColumns({"least": F.col("id"), "class": F.lit(None).cast("binary")})
+    result = told_of(stages, texts.where("print is not null"), whole, "print").unionByName(alone)
+    return stages.keep(result, "rows")
+
+
+def told_of(stages: Stages, left: DataFrame, right: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key. Keys with a thousandth of all rows or more, a thousand at most, are told by a broadcast."""
+    total = left.count()
+    hot = left.groupBy(key).count().where(F.col("count") * share >= total).select(key)
+    hot = F.broadcast(stages.keep(hot, f"hot-{key}"))
+    spread = left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key)
+    return left.join(hot, key, "left_anti").join(right, key).unionByName(spread)
+
+
+def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """One row a text: ``n_shingles`` and ``component_id``, the least key reachable by links of Jaccard similarity ``percent`` / 100 or more."""
+    stages = Stages(docs.sparkSession, "jaccard")
+    shards = stages.keep(pack(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), "text"), "shards")
+    rows = class_rows(stages, shards, "text", n, percent)
+    stages.drop_all_but("rows")
+    return rows.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
 
 
 def shard_keys(sets: list[np.ndarray], shift) -> tuple[np.ndarray, np.ndarray]:
@@ -290,11 +299,28 @@ def linked(stages: Stages, members: DataFrame, index: DataFrame, percent: int) -
 
 
 def op10_jaccard(spark, sf_dir: str) -> DataFrame:
+    """Each row of ``documents`` with ``n_shingles`` (5 words) and ``component_id``, by links of Jaccard similarity 0.8 or more."""
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without near copies: of each class the row with the least key stays; rows without key stay."""
-    stay = classes(docs, key=key, text=text).where(F.col(key) == F.col("component_id")).select(key).distinct()
-    kept = docs.join(stay, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
-    return kept.unionByName(docs.where(F.col(key).isNull()))
+def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without near copies: of the rows of each class the one with the least key stays (rows without key come last; ties go by
+    the text's hash); every row without shingles stays. Rows are told apart by their place in the shards, so a key may repeat."""
+    stages = Stages(docs.sparkSession, "jaccard")
+    aside = docs.withColumnsRenamed({c: f"c_{c}" for c in docs.columns})
+    shards = stages.keep(pack(aside.withColumn("id", F.col(f"c_{key}").cast("long")), f"c_{text}"), "shards")
+    rows = class_rows(stages, shards, f"c_{text}", n, percent)
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "print", "mark", "shard", "row")
+    first = rows.where("print is not null").groupBy("class").agg(F.min(order).alias("r")).select("r.shard", "r.row")
+    stay = first.unionByName(rows.where("print is null").select("shard", "row")).groupBy("shard").agg(F.collect_list("row").alias("rows"))
+    schema = to_arrow_schema(aside.schema)
+
+    def unpack(batches):
+        for batch in batches:
+            for blob, chosen in zip(batch.column("blob"), batch.column("rows"), strict=True):
+                part = from_blob(blob.as_py()).take(pa.array(sorted(chosen.as_py()), pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(f.name) for f in schema], schema=schema)
+
+    kept = stages.keep(shards.select("shard", "blob").join(stay, "shard").select("blob", "rows").mapInArrow(unpack, aside.schema), "kept")
+    stages.drop_all_but("kept")
+    return kept.select(*(F.col(f"c_{c}").alias(c) for c in docs.columns))

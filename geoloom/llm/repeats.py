@@ -10,16 +10,21 @@ In a round each block is paired with the block h phrases on in the text, so that
 are asked which of the new blocks they share: a block that only one suffix has has no repeat, and is
 followed no further. Rounds end when the blocks span ``least`` bytes.
 
+A second rule may go with the first: passages of ``words`` words that stand in another row too, whatever their bytes. Windows
+of so many words whose inner phrases are all shared (or that are too short to have any) are compared as
+strings, by one more question among the same keys.
+
 From the shared blocks follows, for each byte, whether the string of ``least`` bytes that starts there is
 repeated for sure (the phrases around it are one shared interval), certainly not (the phrases inside it are
 not), or open by some bytes at the ends of a repeat. The open ones are settled by one question about the
 strings themselves.
 
-Hashes have 64 bits; two different strings among n are taken for equal with probability n * n / 2 ** 65 at most.
+Hashes have 64 bits, those of strings 63; two different strings among n are taken for equal with probability n * n / 2 ** 64 at most.
 
 Defined results: null and empty texts and texts under ``least`` bytes stay as they are; equal texts of ``least``
-bytes or more are removed whole, each of them; rows that repeat are equal texts; an empty table gives an
-empty result; other columns travel along.
+bytes or more are removed whole, each of them; rows that repeat are equal texts; words are runs of bytes other
+than blanks, and a text of fewer than ``words`` has no passage; an empty table gives an empty result; other columns
+travel along, but for those with a result column's name.
 """
 
 from __future__ import annotations
@@ -33,11 +38,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import Stages
-from .exchange import U64, Spans, answer, ask, bits_told, counts_told, from_blob, mix, pack, sized, squeeze, text_bytes, to_blob, unsqueeze, with_answers
+from .exchange import U64, Spans, answer, ask, bits_told, counts_told, from_blob, mix, pack, sized, squeeze, text_bytes, to_blob, unsqueeze, with_answers, words_in
 
 LEAST = 400
+#: Words of a passage that may stand in one row only; every passage of over 50 words holds one of so many.
+WORDS = 50
 #: Window and gram of the cuts; a phrase has WINDOW bytes at most.
-WINDOW, GRAM = 64, 8
+WINDOW, GRAM = 56, 8
 #: Where a string of LEAST bytes is repeated, cuts from its byte AHEAD on, up to BEHIND before its end, are equal.
 AHEAD, BEHIND = WINDOW - 1, WINDOW + GRAM - 2
 
@@ -94,12 +101,68 @@ def joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return np.where((first != 0) & (second != 0), both, U64(0))
 
 
-def asked_keys(blocks: np.ndarray, shift) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys of the blocks that are not 0, which of them this shard has more than once, and each block's key."""
-    keys, place, counts = np.unique(blocks >> shift, return_inverse=True, return_counts=True)
+def whole_keys(blocks: np.ndarray, shift) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys of the blocks that are not 0, how often this shard has each, and each block's key (past the last one: none)."""
+    there = blocks != 0
+    keys, back, counts = np.unique(blocks[there] >> shift, return_inverse=True, return_counts=True)
+    place = np.full(len(blocks), len(keys))
+    place[there] = back
     return keys, counts, place
 
 
+def shared_blocks(blocks: np.ndarray, told, bits: int, buckets: int) -> np.ndarray:
+    """Which suffixes' blocks several suffixes have, here or in other shards."""
+    keys, counts, place = whole_keys(blocks, U64(64 - bits))
+    return np.append(bits_told(keys, told, bits, buckets) | (counts > 1), False)[place]
+
+
+def word_windows(data: np.ndarray, bounds: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and row of every window of so many words that lies in one row."""
+    starts, ends = words_in(data, bounds)
+    rows = np.searchsorted(bounds, starts, "right") - 1
+    if len(starts) < words:
+        return starts[:0], ends[:0], rows[:0]
+    inside = np.flatnonzero(rows[words - 1 :] == rows[: len(rows) - words + 1])
+    return starts[inside], ends[inside + words - 1], rows[inside]
+
+
+def open_windows(p: Parse, shared: np.ndarray, words: int) -> np.ndarray:
+    """Flags of the windows of so many words whose inner phrases are all shared; a window without inner phrases is open too."""
+    s, e, _ = word_windows(p.data, p.bounds, words)
+    if not len(s):
+        return np.zeros(0, bool)
+    flags = np.zeros(len(p.data) + 1, bool)
+    flags[p.starts] = True
+    upto = np.cumsum(flags, dtype=np.int32)
+    alone = np.concatenate(([0], np.cumsum(~shared)))
+    first = upto[np.minimum(s + AHEAD - 1, len(p.data))].astype(np.int64)
+    last = np.maximum(upto[np.maximum(e - BEHIND - 1, 0)].astype(np.int64) - 1, first)
+    return alone[last] == alone[first]
+
+
+def in_several_rows(names: np.ndarray, rows: np.ndarray, told, buckets: int, keys: np.ndarray) -> np.ndarray:
+    """Which names several rows have, here or in other shards; ``keys`` are all that the shard asked about."""
+    if not len(names):
+        return np.zeros(0, bool)
+    order = np.lexsort((rows, names))
+    n, r = names[order], rows[order]
+    new = np.concatenate(([True], n[1:] != n[:-1]))
+    many = np.maximum.reduceat(r, np.flatnonzero(new)) != np.minimum.reduceat(r, np.flatnonzero(new))
+    out = np.empty(len(names), bool)
+    out[order] = many[np.cumsum(new) - 1]
+    return out | bits_told(keys, told, 64, buckets)[np.searchsorted(keys, names)]
+
+
+def covered(first: np.ndarray, end: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs that spans (sorted by start) cover in rows; spans that touch are one run."""
+    if not len(first):
+        return first, end
+    reach = np.maximum.accumulate(end)
+    row = np.searchsorted(bounds, first, "right")
+    gap = np.flatnonzero((first[1:] > reach[:-1]) | (row[1:] != row[:-1])) + 1
+    return first[np.concatenate(([0], gap))], reach[np.append(gap, len(first)) - 1]
+
+
 def stepped(blocks: np.ndarray, h: int) -> np.ndarray:
     """Each suffix's block of 2h phrases: the LF step back by h from the block that follows."""
     follows = np.zeros_like(blocks)
@@ -194,45 +257,31 @@ def places_of(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - before, count) + np.arange(int(count.sum()))
 
 
-def spans_of(starts: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Maximal runs of bytes covered by strings of ``least`` bytes that begin at the sorted ``starts``."""
-    if not len(starts):
-        return []
-    gap = np.flatnonzero(np.diff(starts) > least)
-    return list(zip(starts[np.concatenate(([0], gap + 1))].tolist(), (starts[np.append(gap, len(starts) - 1)] + least).tolist(), strict=True))
-
-
 def fields_of(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def dedupe(docs: DataFrame, *, text: str = "text", least: int = LEAST, as_text: bool = False) -> DataFrame:
+def dedupe(docs: DataFrame, *, text: str = "text", least: int = LEAST, words: int | None = None, cut_passages: bool = False, as_text: bool = False) -> DataFrame:
     """``docs`` with ``n_removed`` (bytes), ``n_spans`` (maximal removed runs) and ``kept``: the remaining bytes, or with
-    ``as_text`` a string of them without the bytes of characters that were cut apart."""
-    if least < 3 * WINDOW + AHEAD + BEHIND:
+    ``as_text`` a string of them without the bytes of characters that were cut apart.
+
+    ``words``: counts in ``n_passage_words`` the words covered by passages of so many words that stand in another row too;
+    ``cut_passages``: they are removed like the repeated strings of ``least`` bytes."""
+    if least < 2 * WINDOW + AHEAD + BEHIND:
         raise ValueError("strings must be longer than the windows of the cuts")
     spark, stages = docs.sparkSession, Stages(docs.sparkSession, "repeats")
-    docs = docs.drop("n_removed", "n_spans", "kept")
-    result = f"{fields_of(docs)}, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
+    docs = docs.drop("n_removed", "n_spans", "n_passage_words", "kept")
+    result = f"{fields_of(docs)}, n_removed long, n_spans long, n_passage_words long, kept {'string' if as_text else 'binary'}"
     result_schema = to_arrow_schema(spark.createDataFrame([], result).schema)
     shards = stages.keep(pack(docs, text), "shards")
     total = shards.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     bits, buckets = sized(total, WINDOW / 2)
     shift = U64(64 - bits)
 
-    def whole_keys(blocks, shift):
-        keys, counts, place = asked_keys(blocks, shift)
-        return (keys[1:], counts[1:], place - 1) if len(keys) and keys[0] == 0 else (keys, counts, place)
-
-    def shared_blocks(blocks: np.ndarray, told, bits, buckets) -> np.ndarray:
-        """Which suffixes' blocks several suffixes have, here or in other shards."""
-        keys, counts, place = whole_keys(blocks, U64(64 - bits))
-        several = np.append(bits_told(keys, told, bits, buckets) | (counts > 1), False)
-        return several[place] & (blocks != 0)
-
-    def done(batch, removed, runs, raw):
+    def done(batch, removed, runs, passages, raw):
         kept = [x.decode("utf-8", "ignore") for x in raw] if as_text else raw
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, result_schema.field("kept").type)], schema=result_schema)
+        counts = [pa.array(x, pa.int64()) for x in (removed, runs, passages)]
+        return pa.RecordBatch.from_arrays([*batch.columns, *counts, pa.array(kept, result_schema.field("kept").type)], schema=result_schema)
 
     def first_keys():
         def keys(blob):
@@ -247,12 +296,16 @@ def dedupe(docs: DataFrame, *, text: str = "text", least: int = LEAST, as_text:
         symbols = p.symbols()
         shared = shared_blocks(symbols, told, bits, buckets)
         rows = candidate_rows(p, shared, least)
-        kinds, blobs_out = [], []
+        if words:
+            of = word_windows(p.data, p.bounds, words)[2]
+            rows[of[open_windows(p, shared, words)]] = True
+        kinds, out = [], []
         if not rows.all():
             part = batch.filter(pa.array(~rows))
             raw = [(x.as_py() or "").encode() for x in part.column(text)]
+            none = [0] * len(raw)
             kinds.append("done")
-            blobs_out.append(to_blob(done(part, [0] * len(raw), [0] * len(raw), raw)))
+            out.append(to_blob(done(part, none, none, none, raw)))
         if rows.any():
             part = batch.filter(pa.array(rows))
             q = parse(part, text)
@@ -260,14 +313,17 @@ def dedupe(docs: DataFrame, *, text: str = "text", least: int = LEAST, as_text:
             again = q.symbols()
             mask = np.isin(again, symbols[shared])
             kinds += ["text", "state"]
-            blobs_out += [to_blob(part), to_state(again, q.ends - q.starts, [mask], q.bounds)]
-        yield pa.RecordBatch.from_arrays([pa.array([shard] * len(kinds), pa.int64()), pa.array(kinds, pa.string()), pa.array(blobs_out, pa.binary())], ["shard", "kind", "blob"])
+            out += [to_blob(part), to_state(again, q.ends - q.starts, [mask], q.bounds)]
+            if words:
+                kinds.append("windows")
+                out.append(squeeze(np.packbits(open_windows(q, mask, words))))
+        yield pa.RecordBatch.from_arrays([pa.array([shard] * len(kinds), pa.int64()), pa.array(kinds, pa.string()), pa.array(out, pa.binary())], ["shard", "kind", "blob"])
 
     questions = ask(shards, first_keys, bits, buckets, "blob")
     first = with_answers(shards, answer(questions), first_told, "shard long, kind string, blob binary", "blob")
     kept = stages.keep(first, "first", by="kind")
     stages.drop("shards")
-    clean, texts, state = (kept.where(F.col("kind") == k).select("shard", "blob") for k in ("done", "text", "state"))
+    clean, texts, state, windows_open = (kept.where(F.col("kind") == k).select("shard", "blob") for k in ("done", "text", "state", "windows"))
 
     # Rounds: blocks of 2, 4, 8 ... phrases.
     h, at = 1, 0
@@ -356,40 +412,69 @@ def dedupe(docs: DataFrame, *, text: str = "text", least: int = LEAST, as_text:
     flags = stages.keep(with_answers(sure, told, inner_told, "shard long, blob binary", "state", "sure"), "flags")
     stages.drop("sure")
     both = texts.select("shard", F.col("blob").alias("texts")).join(flags.select("shard", F.col("blob").alias("flags")), "shard")
+    both = both.join(windows_open.select("shard", F.col("blob").alias("windows")), "shard", "left")
     both = stages.keep(both, "both")
-    stages.drop("flags", "first/kind=text", "first/kind=state")
+    stages.drop("flags", "first/kind=text", "first/kind=state", "first/kind=windows")
 
-    def strings(texts_blob, flags_blob):
+    def strings(texts_blob, flags_blob, windows_blob):
         data, bounds = text_bytes(from_blob(texts_blob).column(text))
         sure, open_ = np.unpackbits(unsqueeze(flags_blob, np.uint8), count=2 * len(data)).reshape(2, -1).astype(bool)
         s = np.flatnonzero(open_)
-        return data, bounds, np.flatnonzero(sure), s, Spans(data).hash(s, s + least) | U64(1) if len(s) else np.zeros(0, np.uint64)
+        spans = Spans(data)
+        names = spans.hash(s, s + least) | U64(1) if len(s) else np.zeros(0, np.uint64)
+        passages = [np.zeros(0, np.int64)] * 3
+        if windows_blob is not None:
+            passages = word_windows(data, bounds, words)
+            chosen = np.unpackbits(unsqueeze(windows_blob, np.uint8), count=len(passages[0])).astype(bool)
+            passages = [x[chosen] for x in passages]
+        # even names for passages, odd ones for strings
+        named = spans.hash(passages[0], passages[1]) & ~U64(1) if len(passages[0]) else np.zeros(0, np.uint64)
+        return data, bounds, np.flatnonzero(sure), s, names, passages, named
 
     def open_keys():
-        return lambda texts_blob, flags_blob: (whole_keys(strings(texts_blob, flags_blob)[4], U64(0))[0], None)
+        def keys(*blobs):
+            _, _, _, _, names, _, named = strings(*blobs)
+            return np.unique(np.concatenate((names, named))), None
+
+        return keys
 
     def open_told(shard, blobs, told):
         batch = from_blob(blobs[0])
-        data, bounds, sure, s, names = strings(*blobs)
-        found = s[shared_blocks(names, told, 64, buckets)] if len(s) else s
-        starts = np.union1d(sure, found)
-        cut = np.searchsorted(starts, bounds)
-        removed, runs, left = [], [], []
+        data, bounds, sure, s, names, (a, b, row), named = strings(*blobs)
+        keys, counts = np.unique(np.concatenate((names, named)), return_counts=True)
+        if len(s):
+            s = s[(bits_told(keys, told, 64, buckets) | (counts > 1))[np.searchsorted(keys, names)]]
+        found = in_several_rows(named, row, told, buckets, keys)
+        a, b = covered(a[found], b[found], bounds)
+        starts = np.union1d(sure, s)
+        begin, end = covered(starts, starts + least, bounds)
+        n_words = np.zeros(len(data) + 1, np.int64)
+        if len(a):
+            n_words[words_in(data, bounds)[0]] = 1
+            n_words = np.concatenate(([0], np.cumsum(n_words)))
+        if cut_passages and len(a):
+            begin, end = np.concatenate((begin, a)), np.concatenate((end, b))
+            order = np.argsort(begin, kind="stable")
+            begin, end = covered(begin[order], end[order], bounds)
+        cut, seen = np.searchsorted(begin, bounds), np.searchsorted(a, bounds)
+        removed, runs, passages, left = [], [], [], []
         for i in range(batch.num_rows):
-            a, b = int(bounds[i]), int(bounds[i + 1])
-            spans = spans_of(starts[cut[i] : cut[i + 1]], least)
-            at, parts = a, []
+            at, parts = int(bounds[i]), []
+            spans = list(zip(begin[cut[i] : cut[i + 1]].tolist(), end[cut[i] : cut[i + 1]].tolist(), strict=True))
             for x, y in spans:
                 parts.append(data[at:x].tobytes())
                 at = y
-            parts.append(data[at:b].tobytes())
+            parts.append(data[at : bounds[i + 1]].tobytes())
             removed.append(sum(y - x for x, y in spans))
             runs.append(len(spans))
+            mine = slice(seen[i], seen[i + 1])
+            passages.append(int((n_words[b[mine]] - n_words[a[mine]]).sum()))
             left.append(b"".join(parts))
-        yield done(batch, removed, runs, left)
+        yield done(batch, removed, runs, passages, left)
 
-    told = answer(ask(both, open_keys, 64, buckets, "texts", "flags"))
-    settled = with_answers(both, told, open_told, result, "texts", "flags")
+    columns = ("texts", "flags", "windows")
+    told = answer(ask(both, open_keys, 64, buckets, *columns))
+    settled = with_answers(both, told, open_told, result, *columns)
 
     def unpack(batches):
         for batch in batches:
@@ -401,15 +486,19 @@ def dedupe(docs: DataFrame, *, text: str = "text", least: int = LEAST, as_text:
 
 
 def op6_repeats(spark, sf_dir: str) -> DataFrame:
+    """Each row of ``documents`` without the bytes that strings of 400 bytes standing elsewhere too cover: ``n_bytes``, ``n_removed``,
+    ``n_spans``, ``kept_sha256``; and ``n_passage_words``, the words of passages of 50 words or more that stand in another
+    document too, many of which have fewer than 400 bytes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = dedupe(docs)
-    return found.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    found = dedupe(docs, words=WORDS)
+    return found.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words")
 
 
-def without_repeats(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """``docs`` with the repeated passages cut out of the texts; rows whose text was nothing else go."""
+def without_repeats(docs: DataFrame, *, text: str = "text", least: int = LEAST, words: int = WORDS) -> DataFrame:
+    """``docs`` with the repeated strings of ``least`` bytes and the passages of ``words`` words that stand in another row too cut
+    out of the texts, each copy of them; rows whose text was nothing else go."""
     columns = docs.columns
     aside = docs.withColumnsRenamed({c: f"c_{c}" for c in columns})
-    found = dedupe(aside, text=f"c_{text}", as_text=True).where((F.col("n_removed") == 0) | (F.length("kept") > 0))
+    found = dedupe(aside, text=f"c_{text}", least=least, words=words, cut_passages=True, as_text=True).where((F.col("n_removed") == 0) | (F.length("kept") > 0))
     cut = found.withColumn(f"c_{text}", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(f"c_{text}")))
     return cut.select(*(F.col(f"c_{c}").alias(c) for c in columns))

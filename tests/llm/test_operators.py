@@ -262,6 +262,40 @@ def test_repeats(docs, none, rows, least):
     assert repeats.dedupe(none).count() == 0
 
 
+def test_passages(spark, none):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7))) for _ in range(500)]
+    make = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    rows = [(i, make(rng.randint(0, 400))) for i in range(60)]
+    for n in [*range(48, 61), 120]:  # passages of about 50 words, most of fewer than 400 bytes, and one of "a" only
+        shared = make(n) if n != 55 else " ".join("a" * 55)
+        rows += [(len(rows) + k, f"{make(30)} {shared}\n{make(20 * k)}") for k in range(2 + n % 3)]
+    own = make(120)
+    rows += [(500, f"{own} {make(10)} {own}"), (501, None), (502, "")]  # repeats within one document only
+    words = [(r[1] or "").split() for r in rows]
+    holders = defaultdict(set)
+    for i, (_, t) in enumerate(rows):
+        for m in re.finditer(r"(?=(?<!\S)((?:\S+\s+){49}\S+)(?!\S))", t or ""):
+            holders[m[1]].add(i)
+    want = {}
+    for i, (k, t) in enumerate(rows):
+        cover = np.zeros(len(t or ""), bool)
+        for m in re.finditer(r"(?=(?<!\S)((?:\S+\s+){49}\S+)(?!\S))", t or ""):
+            if len(holders[m[1]]) > 1:
+                cover[m.start() : m.start() + len(m[1])] = True
+        starts = [m.start() for m in re.finditer(r"\S+", t or "")]
+        want[k] = (sum(bool(cover[x]) for x in starts), "".join(c for c, x in zip(t or "", cover, strict=True) if not x))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r for r in repeats.dedupe(df, words=50, cut_passages=True, as_text=True, least=4000).collect()}
+    assert {k: (r["n_passage_words"], r["kept"]) for k, r in got.items()} == want and len(words) == len(got)
+    assert sum(n > 0 for n, _ in want.values()) >= 25 and want[500][0] == 0
+    plain = {r["doc_id"]: r for r in repeats.dedupe(df, words=50).collect()}
+    assert all(plain[k]["n_passage_words"] == want[k][0] for k in want) and plain[500]["n_removed"] > 0
+    assert repeats.dedupe(none, words=50).count() == 0
+    left = repeats.without_repeats(df)
+    assert left.columns == ["doc_id", "text"] and {r["doc_id"]: r["text"] for r in left.collect()}[501] is None
+
+
 def shingles(text):
     w = (text or "").encode().lower().split()
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
@@ -288,10 +322,22 @@ def test_jaccard(docs, none, rows):
     want = Counter((r[0], len(sets[i]), min(least[find(i)], default=None) if sets[i] else r[0]) for i, r in enumerate(rows))
     assert Counter(tuple(r) for r in jaccard.classes(docs).collect()) == want
     assert jaccard.classes(none).count() == 0
+    # of each class one row stays, the one with the least id; rows without shingles all stay
+    groups = defaultdict(list)
+    for i, r in enumerate(rows):
+        groups[find(i) if sets[i] else ("alone", i)].append(r)
+    first = Counter((min(g, key=lambda r: (r[0] is None, r[0]))[:2]) for g in groups.values())
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
-    got = [r["doc_id"] for r in kept.collect()]
-    assert sorted(x for x in got if x is not None) == sorted({w[0] for w in want if w[0] is not None and w[0] == w[2]}) and got.count(None) == 1
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == first
+    assert jaccard.one_of_each(none).count() == 0
+
+
+def test_one_of_each_with_repeated_ids(spark):
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, a), (1, b), (2, "q " + b), (None, a), (None, "z " + b), (3, ""), (3, None), (None, "")]
+    got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(1, a), (1, b), (3, ""), (3, None), (None, "")])
 
 
 def test_components(spark):
