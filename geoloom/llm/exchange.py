@@ -23,6 +23,8 @@ ASKED = "bucket int, shard long, blob binary"
 ANSWERED = "shard long, bucket int, blob binary"
 #: Text bytes a shard, about; keys a bucket, about.
 SHARD_BYTES, BUCKET_KEYS = 4 << 20, 2 << 20
+#: Bytes that array passes over texts take at a time.
+CACHED = 1 << 17
 
 U64 = np.uint64
 MULTIPLIERS = [U64(m) for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
@@ -41,10 +43,20 @@ BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
+#: Powers that a worker keeps, for arrays of twice a shard's size at most.
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
+    kept = _POWERS.get(base)
+    if kept is not None and len(kept) >= n:
+        return kept[:n]
     out = np.full(max(n, 1), base, np.uint64)
     out[0] = 1
-    return np.multiply.accumulate(out)
+    out = np.multiply.accumulate(out)
+    if n <= 2 * SHARD_BYTES:
+        _POWERS[base] = out
+    return out
 
 
 class Spans:
@@ -52,7 +64,12 @@ class Spans:
 
     def __init__(self, data: np.ndarray):
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_VALUE[data] * powers(BASE, len(data)), out=self.sums[1:])
+        power = powers(BASE, len(data))
+        for at in range(0, len(data), CACHED):  # pieces that stay in the processor's cache
+            end = min(at + CACHED, len(data))
+            part = BYTE_VALUE[data[at:end]] * power[at:end]
+            part[:1] += self.sums[at]
+            np.cumsum(part, out=self.sums[at + 1 : end + 1])
         self.back = powers(BASE_INVERSE, len(data) + 1)
 
     def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

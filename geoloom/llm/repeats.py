@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import Stages
-from .exchange import U64, Spans, answer, ask, bits_told, counts_told, from_blob, mix, pack, sized, squeeze, text_bytes, to_blob, unsqueeze, with_answers, words_in
+from .exchange import CACHED, U64, Spans, answer, ask, bits_told, counts_told, from_blob, mix, pack, sized, squeeze, text_bytes, to_blob, unsqueeze, with_answers, words_in
 
 LEAST = 400
 #: Words of a passage that may stand in one row only; every passage of over 50 words holds one of so many.
@@ -61,6 +61,15 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
 
 def cuts_of(data: np.ndarray) -> np.ndarray:
     """Flags of the bytes where a phrase begins: minima (all of them, where equal) of some window."""
+    flags = np.zeros(len(data), bool)
+    around = WINDOW + GRAM  # what lies further off does not matter for a cut
+    for at in range(0, len(data), CACHED):
+        begin, end = max(0, at - around), min(len(data), at + CACHED + around)
+        flags[at : at + CACHED] = cuts_in(data[begin:end])[at - begin : at - begin + CACHED]
+    return flags
+
+
+def cuts_in(data: np.ndarray) -> np.ndarray:
     flags = np.zeros(len(data), bool)
     if len(data) < 2 * WINDOW + GRAM:
         return flags
@@ -126,18 +135,13 @@ def word_windows(data: np.ndarray, bounds: np.ndarray, words: int) -> tuple[np.n
     return starts[inside], ends[inside + words - 1], rows[inside]
 
 
-def open_windows(p: Parse, shared: np.ndarray, words: int) -> np.ndarray:
-    """Flags of the windows of so many words whose inner phrases are all shared; a window without inner phrases is open too."""
-    s, e, _ = word_windows(p.data, p.bounds, words)
-    if not len(s):
-        return np.zeros(0, bool)
-    flags = np.zeros(len(p.data) + 1, bool)
-    flags[p.starts] = True
-    upto = np.cumsum(flags, dtype=np.int32)
+def open_windows(p: Parse, shared: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Flags of the windows of so many words whose inner phrases are all shared, and the rows of all windows; a window without inner phrases is open too."""
+    s, e, row = word_windows(p.data, p.bounds, words)
     alone = np.concatenate(([0], np.cumsum(~shared)))
-    first = upto[np.minimum(s + AHEAD - 1, len(p.data))].astype(np.int64)
-    last = np.maximum(upto[np.maximum(e - BEHIND - 1, 0)].astype(np.int64) - 1, first)
-    return alone[last] == alone[first]
+    first = np.searchsorted(p.starts, s + AHEAD - 1, "right")
+    last = np.maximum(np.searchsorted(p.starts, e - BEHIND - 1, "right") - 1, first)
+    return alone[last] == alone[first], row
 
 
 def in_several_rows(names: np.ndarray, rows: np.ndarray, told, buckets: int, keys: np.ndarray) -> np.ndarray:
@@ -214,16 +218,17 @@ def window_states(sizes: np.ndarray, bounds: np.ndarray, blocks: list[np.ndarray
     inner phrases are shared: first start, number of starts, name of the inner phrases, name of the phrases around (0: not shared), and the
     phrase that the strings begin in."""
     none = np.zeros(0, np.int64)
-    total = int(bounds[-1])
     starts = np.concatenate(([0], np.cumsum(sizes)))[:-1] if len(sizes) else none
-    flags = np.zeros(total + 1, bool)
-    flags[starts] = True
-    upto = np.cumsum(flags, dtype=np.int32)  # phrases that begin at or before a byte
     table = np.stack(blocks) if blocks else np.zeros((1, 0), np.uint64)
     top = len(blocks) - 1
-    ends = np.repeat(bounds[1:], np.diff(bounds))
-    s = np.flatnonzero(np.arange(total) + least <= ends)
-    if not len(s) or not len(sizes):
+    # a stretch ends where a phrase's start comes to one of four places in the string, and with the row
+    offsets = (AHEAD - 1, least - BEHIND - 1, 0, least - 1)
+    first = np.unique(np.concatenate([starts - k for k in offsets] + [bounds[:-1]])).astype(np.int64)
+    first = first[(first >= 0) & (first < bounds[-1])]
+    row = np.searchsorted(bounds, first, "right") - 1
+    count = np.minimum(np.append(first[1:], bounds[-1]), bounds[row + 1] - least + 1) - first
+    first, count = first[count > 0], count[count > 0]
+    if not len(first) or not len(sizes):
         return none, none, none.astype(np.uint64), none.astype(np.uint64), none
 
     def interval(first, last):
@@ -237,18 +242,11 @@ def window_states(sizes: np.ndarray, bounds: np.ndarray, blocks: list[np.ndarray
         # no suffix has a shared block of more phrases than the top level's two cover
         return np.where((n >= 1) & (n <= 2 * width) & (a != 0) & (b != 0), mix(joined(a, b) + n.astype(np.uint64)) | U64(1), U64(0))
 
-    marks = [upto[s + AHEAD - 1], upto[s + least - BEHIND - 1], upto[s], upto[s + least - 1]]
-    change = np.ones(len(s), bool)
-    change[1:] = s[1:] != s[:-1] + 1
-    for m in marks:
-        change[1:] |= m[1:] != m[:-1]
-    first = np.flatnonzero(change)
-    count = np.diff(np.append(first, len(s)))
-    at = [m[first].astype(np.int64) for m in marks]
+    at = [np.searchsorted(starts, first + k, "right") for k in offsets]  # phrases that begin at or before a byte
     inner = interval(at[0], at[1] - 1)
     kept = np.flatnonzero(inner)
     around = interval(at[2][kept] - 1, np.minimum(at[3][kept], len(sizes)))
-    return s[first[kept]], count[kept], inner[kept], around, at[2][kept] - 1
+    return first[kept], count[kept], inner[kept], around, at[2][kept] - 1
 
 
 def places_of(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -297,8 +295,8 @@ def dedupe(docs: DataFrame, *, text: str = "text", least: int = LEAST, words: in
         shared = shared_blocks(symbols, told, bits, buckets)
         rows = candidate_rows(p, shared, least)
         if words:
-            of = word_windows(p.data, p.bounds, words)[2]
-            rows[of[open_windows(p, shared, words)]] = True
+            open_, of = open_windows(p, shared, words)
+            rows[of[open_]] = True
         kinds, out = [], []
         if not rows.all():
             part = batch.filter(pa.array(~rows))
@@ -316,7 +314,7 @@ def dedupe(docs: DataFrame, *, text: str = "text", least: int = LEAST, words: in
             out += [to_blob(part), to_state(again, q.ends - q.starts, [mask], q.bounds)]
             if words:
                 kinds.append("windows")
-                out.append(squeeze(np.packbits(open_windows(q, mask, words))))
+                out.append(squeeze(np.packbits(open_windows(q, mask, words)[0])))
         yield pa.RecordBatch.from_arrays([pa.array([shard] * len(kinds), pa.int64()), pa.array(kinds, pa.string()), pa.array(out, pa.binary())], ["shard", "kind", "blob"])
 
     questions = ask(shards, first_keys, bits, buckets, "blob")
