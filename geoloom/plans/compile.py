@@ -27,9 +27,9 @@ def q(name: str) -> str:
 def compile_query(graph: PropertyGraph, raw: dict, limited: bool = True) -> DataFrame:
     spec = parse(raw, graph.catalog)
     rows = _start(graph, spec)
-    rows = _traverse(graph, spec, rows)
+    rows, pairs = _traverse(graph, spec, rows)
     rows = _analyse(graph, spec, rows)
-    out = _group(spec, rows) if spec.group_by else _ungrouped(spec, rows)
+    out = _group(spec, rows, pairs) if spec.group_by else _ungrouped(spec, rows)
     return out.limit(spec.limit) if limited else out
 
 
@@ -71,17 +71,23 @@ def _targets(graph: PropertyGraph, step) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _traverse(graph: PropertyGraph, spec: QuerySpec, rows: DataFrame) -> DataFrame:
+def _traverse(graph: PropertyGraph, spec: QuerySpec, rows: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The rows that are left, with counts and lists, and each step's distinct (start, target) pairs. Under ``group_by`` no list is
+    built: groups take their targets from the pairs."""
     pairs: dict[str, DataFrame] = {}
     for step in spec.steps:
         kinds = graph.catalog.node(step.targets[0]).kinds()
         target = _targets(graph, step)
         edges = graph.edges(step.relation)
         origin = pairs[step.origin].select("_start", F.col("_node").alias("src")) if step.origin else rows.select(F.col("id").alias("_start"), F.col("id").alias("src")).distinct()
-        found = origin.join(edges.select("src", "dst"), "src").select("_start", F.col("dst").alias("_node")).distinct()
         wanted = _referenced(spec, step.name)
         fields = [k for k in kinds if k in wanted and k not in ("id", "type")]
-        found = found.join(target.select(F.col("id").alias("_node"), F.col("_ord").alias("_tord"), F.col("_type"), *(F.col(f).alias(f"_f_{f}") for f in fields)), "_node")
+        held = target.select(F.col("id").alias("_node"), F.col("_ord").alias("_tord"), F.col("_type"), *(F.col(f).alias(f"_f_{f}") for f in fields))
+        edges = edges.select("src", F.col("dst").alias("_node"))
+        if step.filters:  # fewer pairs to tell apart
+            found = origin.join(edges.join(held.select("_node"), "_node", "left_semi"), "src").select("_start", "_node").distinct().join(held, "_node")
+        else:
+            found = origin.join(edges, "src").select("_start", "_node").distinct().join(held, "_node")
         pairs[step.name] = found
         low, high = step.min_count, step.max_count
         if "count" not in wanted and (low, high) == (1, None):
@@ -96,7 +102,7 @@ def _traverse(graph: PropertyGraph, spec: QuerySpec, rows: DataFrame) -> DataFra
             if high is not None:
                 rows = rows.where(F.col(q(f"{step.name}.count")) <= high)
         lists = [k for k in kinds if k in wanted]
-        if lists:
+        if lists and not spec.group_by:
             value = {"id": F.col("_node"), "type": F.col("_type")}
             packed = F.array_sort(F.collect_list(F.struct("_tord", "_node", *(value.get(k, F.col(f"_f_{k}") if k in fields else None).alias(k) for k in lists))))
             collected = found.groupBy(F.col("_start").alias("id")).agg(packed.alias("_l"))
@@ -105,7 +111,7 @@ def _traverse(graph: PropertyGraph, spec: QuerySpec, rows: DataFrame) -> DataFra
             for k in lists:
                 name = f"{step.name}.{k}"
                 rows = rows.withColumn(name, F.coalesce(F.col(q(name)), F.array().cast(collected.schema[name].dataType)))
-    return rows
+    return rows, pairs
 
 
 def _analyse(graph: PropertyGraph, spec: QuerySpec, rows: DataFrame) -> DataFrame:
@@ -127,31 +133,66 @@ def _column(spec: QuerySpec, path: str) -> Column:
     return F.col(q(path.removeprefix(f"{spec.start}.")))
 
 
-def _group(spec: QuerySpec, rows: DataFrame) -> DataFrame:
-    """Lists among the keys are exploded one after the other; a list under an aggregate gives all its elements for each membership."""
-    keyed = rows
-    for i, key in enumerate(spec.group_by):
-        listed = spec.paths[key].startswith("array")
-        keyed = keyed.withColumn(f"_k{i}", F.explode(_column(spec, key)) if listed else _column(spec, key))
+def _group(spec: QuerySpec, rows: DataFrame, pairs: dict[str, DataFrame]) -> DataFrame:
+    """A step's field among the keys gives a row for each target, one key after the other; under an aggregate it gives all targets for
+    each membership. Targets are aggregated to one row a start before they meet the groups; distinct values are counted from pairs."""
+    keyed, keys = rows, [f"_k{i}" for i in range(len(spec.group_by))]
+
+    def step_of(path: str | None) -> tuple[str, str] | None:
+        head, _, tail = (path or "").partition(".")
+        return (head, tail) if head in pairs and path and spec.paths[path].startswith("array") else None
+
+    def values(step: str, field: str) -> tuple[DataFrame, Column]:
+        return pairs[step], {"id": F.col("_node"), "type": F.col("_type")}.get(field, F.col(f"_f_{field}"))
+
+    for key, name in zip(spec.group_by, keys, strict=True):
+        if found := step_of(key):
+            df, value = values(*found)
+            keyed = keyed.join(df.select(F.col("_start").alias("id"), value.alias(name)), "id")
+        else:
+            keyed = keyed.withColumn(name, F.explode(_column(spec, key)) if spec.paths[key].startswith("array") else _column(spec, key))
+    members = keyed
+    for step in pairs:
+        made = []
+        for a in spec.aggregates:
+            if (found := step_of(a.path)) and found[0] == step and a.function != "count_distinct":
+                value = values(*found)[1]
+                made.append({"count": F.count(value), "sum": F.sum(value.cast("double")), "avg": F.struct(F.sum(value.cast("double")).alias("s"), F.count(value).alias("n")), "min": F.min(value), "max": F.max(value)}[a.function].alias(f"_a_{a.name}"))
+        if made:
+            keyed = keyed.join(pairs[step].groupBy(F.col("_start").alias("id")).agg(*made), "id", "left")
 
     def made(a):
         if a.path is None:
             return F.count("*")
+        if step_of(a.path):
+            part = F.col(q(f"_a_{a.name}"))
+            if a.function == "avg":
+                return F.sum(part["s"]) / F.nullif(F.sum(part["n"]), F.lit(0))
+            return {"count": lambda: F.sum(F.coalesce(part, F.lit(0))).cast("long"), "sum": lambda: F.sum(part), "min": lambda: F.min(part), "max": lambda: F.max(part)}[a.function]()
         col, listed = _column(spec, a.path), spec.paths[a.path].startswith("array")
         if not listed:
             return {"count": F.count, "count_distinct": F.countDistinct, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[a.function](col)
-        some = F.filter(col, lambda x: x.isNotNull())
+        some = F.filter(col, lambda x: x.isNotNull())  # a list that an analysis gives: some categories
         total = lambda: F.sum(F.when(F.size(some) > 0, F.aggregate(F.transform(some, lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x)))
         return {
             "count": lambda: F.sum(F.size(some)).cast("long"),
-            "count_distinct": lambda: F.size(F.array_distinct(F.flatten(F.collect_list(F.array_distinct(some))))).cast("long"),
+            "count_distinct": lambda: F.size(F.array_distinct(F.flatten(F.collect_set(F.array_distinct(some))))).cast("long"),
             "sum": total,
             "avg": lambda: total() / F.nullif(F.sum(F.size(some)), F.lit(0)),
             "min": lambda: F.min(F.array_min(some)),
             "max": lambda: F.max(F.array_max(some)),
         }[a.function]()
 
-    out = keyed.groupBy(*(f"_k{i}" for i in range(len(spec.group_by)))).agg(*(made(a).alias(a.name) for a in spec.aggregates or (_count_all(),)))
+    distinct = [a for a in spec.aggregates if a.function == "count_distinct" and step_of(a.path)]
+    plain = [a for a in spec.aggregates or (_count_all(),) if a not in distinct]
+    out = keyed.groupBy(*keys).agg(*(made(a).alias(a.name) for a in plain)) if plain else keyed.select(*keys).distinct()
+    for a in distinct:
+        df, value = values(*step_of(a.path))
+        told = members.select("id", *keys).join(df.select(F.col("_start").alias("id"), value.alias("_v")), "id")
+        told = told.groupBy(*(F.col(k).alias(f"{k}d") for k in keys)).agg(F.countDistinct("_v").alias("_n"))
+        same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"{k}d")) for k in keys))
+        out = out.join(told, same, "left").withColumn(a.name, F.coalesce("_n", F.lit(0))).drop("_n", *(f"{k}d" for k in keys))
+    out = out.select(*keys, *(F.col(q(a.name)) for a in spec.aggregates or (_count_all(),)))
     out = out.withColumnsRenamed({f"_k{i}": key for i, key in enumerate(spec.group_by)})
     for h in spec.having:
         out = out.where(predicate(F.col(q(h.field)), dict(out.dtypes)[h.field], h.op, h.value, total=False))
