@@ -102,7 +102,12 @@ class City:
 
     def access(self) -> DataFrame:
         """(id, network, node, distance_m, quality) of each service on each network."""
-        one = lambda m: spatial.snapped(self.placed(self.services), self.nodes(m)).select("id", F.lit(m).alias("network"), "node", F.col("distance").alias("distance_m"), "quality")
+        rows = self.placed(self.services)
+        if "ring" in rows.columns:  # outlines of area services, in degrees
+            metric = F.transform("ring", lambda p: F.struct(to_lv95(p["x"], p["y"])[0].alias("x"), to_lv95(p["x"], p["y"])[1].alias("y")))
+            rows = rows.withColumn("ring", metric)
+        snap = spatial.snapped_outline if "ring" in rows.columns else spatial.snapped
+        one = lambda m: snap(rows, self.nodes(m)).select("id", F.lit(m).alias("network"), "node", F.col("distance").alias("distance_m"), "quality")
         return reduce(DataFrame.unionByName, (one(m) for m in self.networks))
 
     def _timetable(self) -> dict[str, DataFrame]:
@@ -292,7 +297,7 @@ class City:
         there = transit.earliest_arrivals(near.select("origin", "stop", (F.lit(start) + F.col("at")).cast("int").alias("ready")), calls, t["transfers"], int(start + budget), max_transfers)
         elapsed = F.col("arrival") - start + F.col("distance_m") * per_m
         off = there.join(self.stop_access().where("node is not null").select(F.col("id").alias("stop"), "node", "distance_m"), "stop").where(elapsed <= budget)
-        again = seeds.unionByName(off.select("origin", "node", elapsed.cast("double").alias("cost"))).groupBy("origin", "node").agg(F.min("cost").alias("cost"))
+        again = routing.merged_seeds(seeds, off.select("origin", "node", elapsed.cast("double").alias("cost")))
         costs = routing.shortest_paths(again, edges, budget)
         walk = on("walk").withColumn("distance_m", F.col("distance_m") * per_m)
         return routing.reachable_services(costs, walk, budget).select("origin", "service", "category", (F.col("distance_m") / 60).alias("minutes"))
@@ -374,6 +379,39 @@ class City:
         far = rows.where(F.col("cost").isNull() | (F.col("cost") > budget))
         return {"areas": routing.coverage(inside, near, budget), "network": whole, "worst": routing.thinned(far, 400.0, limit)}
 
+    def reachable_accidents(self, origins: DataFrame, mode: str = "walk", minutes: float = 15) -> DataFrame:
+        """(origin, n): accidents within the budget, each counted from its street node and the way to it."""
+        budget = routing.budget_m(minutes, routing.SPEED_KMH[mode])
+        costs = routing.shortest_paths(self.seeds(origins, mode).select("origin", "node", F.lit(0.0).alias("cost")), self.edges(mode), budget)
+        at = spatial.snapped(self.placed(self.accidents), self.nodes(mode)).where("node is not null").select("node", F.col("distance").alias("distance_m"))
+        return routing.reachable_points(costs, at, budget)
+
+    def reachable_areas(self, origins: DataFrame, mode: str = "walk", minutes: float = 15) -> DataFrame:
+        """(origin, area) of the areas that the streets in reach meet."""
+        budget = routing.budget_m(minutes, routing.SPEED_KMH[mode])
+        edges = self.edges(mode)
+        costs = routing.shortest_paths(self.seeds(origins, mode).select("origin", "node", F.lit(0.0).alias("cost")), edges, budget)
+        at = self.networks[mode][0].select("node", F.col("lon").alias("x"), F.col("lat").alias("y"))
+        return routing.areas_touched(costs, edges, at, self.areas, CELL_DEG)
+
+    def network_stats(self) -> DataFrame:
+        one = lambda m: routing.network_stats(self.nodes(m), self.edges(m)).select(F.lit(m).alias("network"), "*")
+        return reduce(DataFrame.unionByName, map(one, self.networks))
+
+    def service_sources(self, category: str | None = None) -> DataFrame:
+        """(source, dataset, url) that services come from; a URL only where a source and dataset has one."""
+        rows = self.services if category is None else self.services.where(F.col("category") == category)
+        for c in ("dataset", "url"):
+            rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast("string"))
+        return rows.groupBy("source", "dataset").agg(F.when(F.countDistinct("url") == 1, F.max("url")).alias("url")).orderBy("source", "dataset")
+
+    def service_summary(self) -> DataFrame:
+        """A row for each category: services, those on any network, on foot and by bicycle, those without a name, and their sources."""
+        on = self.access().where("node is not null").groupBy("id").agg(F.bool_or(F.col("network") == "walk").alias("w"), F.bool_or(F.col("network") == "bike").alias("b"))
+        rows = self.services.join(on, "id", "left")
+        found = rows.groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("w") | F.col("b")).alias("routable"), F.count_if("w").alias("walk"), F.count_if("b").alias("bike"), F.count_if(F.col("name").isNull()).alias("unnamed"), F.array_sort(F.collect_set("source")).alias("sources"))
+        return self.categories().select("category", "label").join(found, "category", "left").fillna(0, ["n", "routable", "walk", "bike", "unnamed"])
+
     def areas_by_accidents(self) -> DataFrame:
         n = self.area_of(self.accidents, boundary=True).groupBy("area").agg(F.count("*").alias("accidents"))
         return self.areas.select("area", "name").join(n, "area", "left").withColumn("accidents", F.coalesce("accidents", F.lit(0))).orderBy(F.desc("accidents"), "area")

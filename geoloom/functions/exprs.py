@@ -188,6 +188,36 @@ def inside(x: Column, y: Column, ring: Column, boundary: bool = False) -> Column
     return (in_ring(x, y, ring) | edge) if boundary else (in_ring(x, y, ring) & ~edge)
 
 
+def crosses_ring(ax: Column, ay: Column, bx: Column, by: Column, ring: Column) -> Column:
+    """Whether a segment crosses or touches a side of the ring."""
+
+    def side(px, py, qx, qy, x, y):
+        return F.signum((qx - px) * (y - py) - (qy - py) * (x - px))
+
+    def meets(e):
+        a, b = e["a"], e["b"]
+        apart = side(ax, ay, bx, by, a["x"], a["y"]) * side(ax, ay, bx, by, b["x"], b["y"]) <= 0
+        boxes = (F.least(ax, bx) <= F.greatest(a["x"], b["x"])) & (F.least(a["x"], b["x"]) <= F.greatest(ax, bx)) & (F.least(ay, by) <= F.greatest(a["y"], b["y"])) & (F.least(a["y"], b["y"]) <= F.greatest(ay, by))
+        return apart & (side(a["x"], a["y"], b["x"], b["y"], ax, ay) * side(a["x"], a["y"], b["x"], b["y"], bx, by) <= 0) & boxes
+
+    return F.exists(edges_of(ring), meets)
+
+
+def ring_centroid(ring: Column) -> tuple[Column, Column]:
+    """Centre of mass of a closed ring; of one without area the mean of its corners."""
+    n = F.size(ring) - 1
+    turn = lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]
+    sides = F.zip_with(F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n), lambda a, b: F.struct(turn(a, b).alias("t"), ((a["x"] + b["x"]) * turn(a, b)).alias("x"), ((a["y"] + b["y"]) * turn(a, b)).alias("y"), a["x"].alias("px"), a["y"].alias("py")))
+    total = lambda f: F.aggregate(F.transform(sides, lambda s: s[f]), F.lit(0.0), lambda s, v: s + v)
+    whole = F.nullif(total("t"), F.lit(0.0))
+    return F.coalesce(total("x") / (3 * whole), total("px") / n), F.coalesce(total("y") / (3 * whole), total("py") / n)
+
+
+def iso_date(c: Column) -> Column:
+    """yyyyMMdd with dashes; other texts as they are, empty ones null."""
+    return F.nullif(F.when(F.regexp_like(c, F.lit("^[0-9]{8}$")), F.concat_ws("-", F.substring(c, 1, 4), F.substring(c, 5, 2), F.substring(c, 7, 2))).otherwise(c), F.lit(""))
+
+
 def circle_ring(x: Column, y: Column, radius: Column, sides: int = 64) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(sides)), lambda i: F.struct((x + radius * F.cos(i * 2 * math.pi / sides)).alias("x"), (y + radius * F.sin(i * 2 * math.pi / sides)).alias("y")))
 

@@ -8,11 +8,14 @@ checked. ``relational`` relaxes all origins' frontiers with joins and has no bou
 from __future__ import annotations
 
 import heapq
+import math
+import tempfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import DataUnavailableError
 from ..functions.exprs import snap_quality
 
 #: The largest adjacency that is broadcast (about 100 MB of Python objects).
@@ -79,11 +82,20 @@ def _grouped(seeds: DataFrame, edges: DataFrame, cutoff: float | None) -> DataFr
     return seeds.select("origin", "node", "cost").groupBy("origin").applyInArrow(search, schema)
 
 
+def _cutter(spark):
+    """Cuts a loop's lineage: to the shared checkpoint folder where one is told, so that a lost executor does not replay the loop."""
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if told and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(told)
+    if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise DataUnavailableError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="geoloom-"))
+    return lambda df: df.checkpoint()
+
+
 def _relational(seeds: DataFrame, edges: DataFrame, cutoff: float | None) -> DataFrame:
-    spark = seeds.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    cut = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
+    cut = _cutter(seeds.sparkSession)
     pick = F.min(F.struct("cost", "pred")).alias("b")
     state = seeds.select("origin", "node", F.col("cost").cast("double"), F.lit(None).cast(seeds.schema["node"].dataType).alias("pred"))
     state = cut(state.groupBy("origin", "node").agg(pick).select("origin", "node", "b.cost", "b.pred"))
@@ -106,6 +118,40 @@ def nearest_facility(facilities: DataFrame, edges: DataFrame, cutoff: float | No
     return shortest_paths(seeds, edges, cutoff).select("node", "cost")
 
 
+def merged_seeds(*parts: DataFrame) -> DataFrame:
+    """Seeds (origin, node, cost) of several kinds, the cheapest of each node."""
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    return both.groupBy("origin", "node").agg(F.min("cost").alias("cost"))
+
+
+def network_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges and their whole length."""
+    return nodes.agg(F.count("*").alias("nodes")).crossJoin(shortest_parallel(edges).agg(F.count("*").alias("edges"), F.coalesce(F.sum("length_m"), F.lit(0.0)).alias("total_m")))  # one row a side
+
+
+def detours(reached: DataFrame, straight: DataFrame) -> DataFrame:
+    """(origin, service, detour): way on the network through the straight distance (origin, service, straight_m); 1 where there is none."""
+    ratio = F.round(F.col("distance_m") / F.nullif(F.col("straight_m"), F.lit(0.0)), 2)
+    return reached.join(straight, ["origin", "service"]).withColumn("detour", F.coalesce(ratio, F.lit(1.0)))
+
+
+def reachable_points(costs: DataFrame, points: DataFrame, budget: float) -> DataFrame:
+    """(origin, n): points (node, distance_m), such as accidents, whose node and way to it are within the budget."""
+    return costs.join(points.select("node", "distance_m"), "node").where(F.col("cost") + F.col("distance_m") <= budget).groupBy("origin").agg(F.count("*").alias("n"))
+
+
+def areas_touched(costs: DataFrame, edges: DataFrame, nodes: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
+    """(origin, area) of the areas that an origin's reachable edges meet. Each edge is tested against areas once, whoever reaches it."""
+    from . import spatial
+
+    one = shortest_parallel(edges)
+    at = lambda n, p: nodes.select(F.col("node").alias(n), F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y"))
+    segments = one.join(at("u", "a"), "u").join(at("v", "b"), "v").select("u", "v", "ax", "ay", "bx", "by")
+    return reachable_edges(costs, edges).join(spatial.segments_in(segments, areas, cell), ["u", "v"]).select("origin", "area").distinct()
+
+
 def reachable_edges(costs: DataFrame, edges: DataFrame) -> DataFrame:
     """(origin, u, v, length_m) of the edges whose both ends an origin reaches, each once."""
     a, b = costs.select("origin", F.col("node").alias("u")), costs.select("origin", F.col("node").alias("v"))
@@ -124,8 +170,7 @@ def route(costs: DataFrame, target) -> list:
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component, size) by least-label propagation with pointer jumping."""
-    spark = nodes.sparkSession
-    cut = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
+    cut = _cutter(nodes.sparkSession)
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     labels = nodes.select("node", F.col("node").alias("component"))
     while True:
@@ -172,16 +217,26 @@ def coverage(areas: DataFrame, distances: DataFrame, budget: float) -> DataFrame
     return rows.groupBy("area").agg(F.count("*").alias("nodes"), F.count_if(F.col("cost") <= budget).alias("covered"), F.round(F.count_if(F.col("cost") <= budget) / F.count("*"), 4).alias("ratio"), F.median("cost").alias("median_m"), F.when(none == 0, F.max("cost")).alias("max_m"), none.alias("unreachable"))
 
 
-def thinned(points: DataFrame, apart_m: float, limit: int) -> DataFrame:
-    """Greedy choice of up to ``limit`` points (node, x, y, cost), worst first, no two nearer than ``apart_m``: a top-1 scan of what is left for each pick."""
+def thinned(points: DataFrame, apart_m: float, limit: int, page: int = 1000) -> DataFrame:
+    """Greedy choice of up to ``limit`` points (node, x, y, cost), worst first, no two nearer than ``apart_m``.
+
+    The points come in pages of that order, without those near a chosen one; mostly one page, a top-k scan, is enough.
+    """
     kept: list = []
-    left = points.select("node", "x", "y", "cost")
+    left = points.select("node", "x", "y", F.col("cost").cast("double").alias("cost"))
+    order = F.coalesce("cost", F.lit(float("inf")))  # what cannot be reached at all is worst
     while len(kept) < limit:
-        row = left.orderBy(F.col("cost").desc_nulls_first(), "node").first()
-        if row is None:
+        found = left.orderBy(order.desc(), "node").limit(page).collect()
+        for row in found:
+            if len(kept) < limit and all(math.hypot(row["x"] - k["x"], row["y"] - k["y"]) >= apart_m for k in kept):
+                kept.append(row)
+        if len(found) < page:
             break
-        kept.append(row)
-        left = left.where(F.hypot(F.col("x") - row["x"], F.col("y") - row["y"]) >= apart_m)
+        for k in kept:
+            left = left.where(F.hypot(F.col("x") - k["x"], F.col("y") - k["y"]) >= apart_m)
+        last = found[-1]
+        edge = float("inf") if last["cost"] is None else last["cost"]
+        left = left.where((order < edge) | ((order == edge) & (F.col("node") > last["node"])))
     return points.sparkSession.createDataFrame(kept, left.schema)
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import edges_of, haversine_m, inside, snap_quality
+from ..functions.exprs import crosses_ring, edges_of, haversine_m, inside, snap_quality
 
 
 def with_bounds(polygons: DataFrame, ring: str = "ring") -> DataFrame:
@@ -24,6 +24,24 @@ def contained(points: DataFrame, polygons: DataFrame, cell: float, boundary: boo
     return at.join(tiles, ["cx", "cy"]).where(box & inside(F.col("x"), F.col("y"), F.col("ring"), boundary)).groupBy("point").agg(F.min_by("area", "ord").alias("area"))
 
 
+def in_box(points: DataFrame, west: float, south: float, east: float, north: float, x: str = "x", y: str = "y") -> DataFrame:
+    """Points inside a box or on its sides; a range on two columns, which reaches the scan."""
+    return points.where(F.col(x).between(west, east) & F.col(y).between(south, north))
+
+
+def segments_in(segments: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
+    """(u, v, area) of segments (u, v, ax, ay, bx, by) that meet an area: an end lies in it or on its boundary, or they cross it.
+
+    A segment and an area meet in the grid cells that both boxes cover; segments are short against areas.
+    """
+    low, high = (lambda a, b: F.floor(F.least(a, b) / cell)), (lambda a, b: F.floor(F.greatest(a, b) / cell))
+    span = lambda a, b: F.explode(F.sequence(low(a, b), high(a, b)))
+    tiles = with_bounds(polygons).select("area", "ring", "y0", "y1", span("x0", "x1").alias("cx")).select("area", "ring", "cx", span("y0", "y1").alias("cy"))
+    parts = segments.select("*", span("ax", "bx").alias("cx")).select("*", span("ay", "by").alias("cy"))
+    meet = inside(F.col("ax"), F.col("ay"), F.col("ring"), True) | inside(F.col("bx"), F.col("by"), F.col("ring"), True) | crosses_ring(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), F.col("ring"))
+    return parts.join(tiles, ["cx", "cy"]).where(meet).select("u", "v", "area").distinct()
+
+
 def _near_cells(df: DataFrame, cell: float) -> DataFrame:
     near = lambda c: F.explode(F.array(*(F.floor(F.col(c) / cell) + d for d in (-1, 0, 1))))
     return df.select("*", near("x").alias("cx")).select("*", near("y").alias("cy"))
@@ -55,6 +73,16 @@ def snapped(points: DataFrame, nodes: DataFrame, most: float = 500.0, poor: floa
     return points.select("id").join(best, "id", "left").select("id", F.col("m.b").alias("node"), F.col("m.distance").alias("distance"), F.when(F.col("m").isNull(), "unreachable").otherwise(snap_quality(F.col("m.distance"), poor, most)).alias("quality"))
 
 
+def snapped_outline(services: DataFrame, nodes: DataFrame, most: float = 500.0, poor: float = 150.0, vertices: int = 400) -> DataFrame:
+    """``snapped`` for services (id, x, y, ring): an area service takes the nearest node of its outline's first ``vertices`` corners
+    where that is nearer than the one of its own place. Corners are rows, so one join snaps all of them."""
+    corners = services.where("ring is not null").select("id", F.explode(F.slice("ring", 1, vertices)).alias("p")).select("id", "p.x", "p.y")
+    near = within_distance(services.select("id", "x", "y").unionByName(corners), nodes.select(F.col("node").alias("id"), "x", "y"), most)
+    best = near.groupBy(F.col("a").alias("id")).agg(F.min(F.struct("distance", "b")).alias("m"))
+    grade = F.when(F.col("m").isNull(), "unreachable").otherwise(snap_quality(F.col("m.distance"), poor, most))
+    return services.select("id").join(best, "id", "left").select("id", F.col("m.b").alias("node"), F.col("m.distance").alias("distance"), grade.alias("quality"))
+
+
 def duplicate_pairs(services: DataFrame, radius: float = 25.0) -> DataFrame:
     """Pairs of services (id, x, y, category, key) of one category within ``radius`` whose name keys agree or are missing on one side."""
     pairs = within_distance(services, services, radius).where("a < b")

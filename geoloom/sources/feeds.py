@@ -23,7 +23,7 @@ def _clean(df: DataFrame) -> DataFrame:
     return df.select(*(F.nullif(F.trim(c), F.lit("")).alias(c) for c in df.columns))
 
 
-def extract(spark: SparkSession, path: str, box: tuple[float, float, float, float]) -> dict[str, DataFrame]:
+def extract(spark: SparkSession, path: str | DataFrame, box: tuple[float, float, float, float]) -> dict[str, DataFrame]:
     """stops, routes, trips, stop_times, calendar, exceptions, transfers of the stations inside ``box`` (south, west, north, east), and rejected rows by file.
 
     Platforms count as their parent station, placed at the mean of its platforms. Of a trip's calls those inside the

@@ -10,6 +10,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..errors import DataUnavailableError
 from ..functions.exprs import first_nonempty, parse_service_time, position_id
@@ -25,8 +26,10 @@ def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, e.select(F.col("_source").alias("u"), F.col("_target").alias("v"), get("length_m").alias("length_m"))
 
 
-def zip_member(spark: SparkSession, path: str, member: str, columns: list[str]) -> DataFrame:
-    """Rows of a CSV file inside zip archives, BOM-tolerant, one task an archive, streamed in batches."""
+def zip_member(spark: SparkSession, path: str | DataFrame, member: str, columns: list[str]) -> DataFrame:
+    """Rows of a CSV file inside zip archives (at a path, or rows with ``content``), BOM-tolerant, one task an archive, streamed in batches.
+
+    A feed that is cut into several archives is read by as many tasks; an archive without the file gives no row."""
 
     def rows(batches):
         for batch in batches:
@@ -44,7 +47,8 @@ def zip_member(spark: SparkSession, path: str, member: str, columns: list[str])
                     if held:
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*held, strict=True)], columns)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, ", ".join(f"`{c}` string" for c in columns))
+    archives = path if isinstance(path, DataFrame) else spark.read.format("binaryFile").load(path)
+    return archives.select("content").mapInArrow(rows, ", ".join(f"`{c}` string" for c in columns))
 
 
 def stop_times(spark: SparkSession, path: str) -> DataFrame:
@@ -71,17 +75,40 @@ def geojson_records(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return rows.select(F.concat(F.lit(f"{kind}:"), F.coalesce("own", position_id(F.col("lon"), F.col("lat")))).alias("id"), "name", "lon", "lat")
 
 
-def paged(spark: SparkSession, fetch: Callable[[int, int], list[dict]], schema: str, total: int, page: int = 100) -> DataFrame:
-    """Records of a service that gives pages of 100 at most; a task fetches a page. ``fetch(offset, limit)`` must be importable on executors."""
+class BadRequest(Exception):
+    """What a paged service answers to an order it does not know (400)."""
+
+
+def paged(spark: SparkSession, fetch: Callable[[int, int, str | None], list[dict]], schema: str, page: int = 100, readers: int = 8, most: int | None = None, order_by: str | None = None) -> DataFrame:
+    """Records of a service that gives pages of 100 at most, whose number nobody tells beforehand.
+
+    Reader k of ``readers`` takes pages k, k + readers, k + 2 readers ... and stops at a short one. An order that the service does not
+    know is left out from then on. ``fetch(offset, limit, order_by)`` must be importable on executors.
+    """
+    size = min(page, 100)
+    fields = [f.name for f in spark.createDataFrame([], schema).schema]
+    kinds = to_arrow_schema(spark.createDataFrame([], schema).schema)
 
     def rows(batches):
         for batch in batches:
-            for offset in batch.column(0).to_pylist():
-                got = fetch(offset, min(page, 100))
-                if got:
-                    yield pa.RecordBatch.from_pylist(got)
-
-    return spark.range(0, total, page).mapInArrow(rows, schema)
+            for start in batch.column(0).to_pylist():
+                order, at = order_by, start * size
+                while most is None or at < most:
+                    wanted = size if most is None else min(size, most - at)
+                    try:
+                        got = fetch(at, wanted, order)
+                    except BadRequest:
+                        if order is None:
+                            raise
+                        order = None
+                        continue
+                    if got:
+                        yield pa.RecordBatch.from_pylist([{f: r.get(f) for f in fields} for r in got], schema=kinds)
+                    if len(got) < wanted:
+                        break
+                    at += size * readers
+
+    return spark.range(0, readers, 1, readers).mapInArrow(rows, schema)
 
 
 def resolve(load: Callable[[], DataFrame], fixture: Callable[[], DataFrame], pinned: bool = False) -> tuple[DataFrame, str, str | None]:
