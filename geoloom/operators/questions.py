@@ -42,16 +42,18 @@ def median_gap(p: DataFrame, good: str, poor: str, mode: str, least: float | Non
 
 
 def adjacent_contrasts(p: DataFrame, adjacency: DataFrame, mode: str, essential: list[str]) -> DataFrame:
-    """Each adjacent pair once: totals over the essential categories, their difference and ratio, and the category that differs most (ties: the first)."""
+    """Each adjacent pair once: totals over the essential categories, their difference and ratio, the category that differs most (ties: the
+    first), and the signed difference of each category."""
     rank = F.array_position(F.array(*map(F.lit, essential)), F.col("category"))
     rows = p.where((F.col("mode") == mode) & F.col("category").isin(*essential)).withColumn("rank", rank)
     a = rows.select(F.col("area").alias("src"), "category", "rank", F.col("n").alias("an"))
     b = rows.select(F.col("area").alias("dst"), "category", F.col("n").alias("bn"))
     both = adjacency.where("src < dst").join(a, "src").join(b, ["dst", "category"])
     gap = F.max(F.struct(F.abs(F.col("an") - F.col("bn")).alias("gap"), (-F.col("rank")).alias("r"), "category"))
-    out = both.groupBy("src", "dst").agg(F.sum("an").alias("a_total"), F.sum("bn").alias("b_total"), gap.alias("g"))
+    signed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "category", (F.col("an") - F.col("bn")).alias("d")))), lambda x: F.struct(x["category"].alias("category"), x["d"].alias("difference")))
+    out = both.groupBy("src", "dst").agg(F.sum("an").alias("a_total"), F.sum("bn").alias("b_total"), gap.alias("g"), signed.alias("by_category"))
     low, high = F.least("a_total", "b_total"), F.greatest("a_total", "b_total")
-    out = out.select("src", "dst", "a_total", "b_total", (high - low).alias("difference"), F.round(high / F.nullif(low, F.lit(0)), 2).alias("ratio"), F.col("g.category").alias("widest"), F.col("g.gap").alias("widest_gap"))
+    out = out.select("src", "dst", "a_total", "b_total", (high - low).alias("difference"), F.round(high / F.nullif(low, F.lit(0)), 2).alias("ratio"), F.col("g.category").alias("widest"), F.col("g.gap").alias("widest_gap"), "by_category")
     return out.orderBy(F.desc("difference"), "src", "dst")
 
 

@@ -8,9 +8,11 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..city import vehicle
 from ..functions import exprs as X
 from ..graph import nation_years, table, trade_graph
 from ..operators import questions, routing, spatial, transit
+from ..quality import service_report
 from ..sources import fixtures
 from ..streaming import events as streams
 from .compile import ANALYSES, compile_query
@@ -174,7 +176,7 @@ def pip_containment(spark, sf_dir):
 
 @query(f"SELECT id FROM ({_point}) WHERE x BETWEEN 300 AND 900 AND y BETWEEN 100 AND 1500")
 def bbox_filter(spark, sf_dir):
-    return _points(spark, sf_dir).where("x between 300 and 900 and y between 100 and 1500").select("id")
+    return spatial.in_box(_points(spark, sf_dir), 300, 100, 900, 1500).select("id")
 
 
 _hav = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
@@ -291,11 +293,12 @@ def one_to_one_route_cost(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
-@query(f"WITH RECURSIVE seeds AS (SELECT m, 0 AS o, 2::BIGINT AS node, 0.0 AS d FROM (VALUES ('walk')) t(m)), {_sp} SELECT node, round(d / (sqrt(((node % 7) - 2)^2 + (node // 7)^2) * 450.0), 4) AS detour FROM sp WHERE node <> 2")
+@query(f"WITH RECURSIVE seeds AS (SELECT m, 0 AS o, 2::BIGINT AS node, 0.0 AS d FROM (VALUES ('walk')) t(m)), {_sp} SELECT node, round(d / (sqrt(((node % 7) - 2)^2 + (node // 7)^2) * 450.0), 2) AS detour FROM sp WHERE node <> 2")
 def detour_factor(spark, sf_dir):
     seed = spark.createDataFrame([(0, 2, 0.0)], "origin int, node long, cost double")
-    costs = routing.shortest_paths(seed, _network(spark, "walk")).join(fixtures.grid_nodes(spark), "node").where("node <> 2")
-    return costs.select("node", F.round(F.col("cost") / F.hypot(F.col("x") - 900.0, F.col("y")), 4).alias("detour"))
+    reached = routing.shortest_paths(seed, _network(spark, "walk")).where("node <> 2").select("origin", F.col("node").alias("service"), F.col("cost").alias("distance_m"))
+    straight = fixtures.grid_nodes(spark).select(F.lit(0).alias("origin"), F.col("node").alias("service"), F.hypot(F.col("x") - 900.0, F.col("y")).alias("straight_m"))
+    return routing.detours(reached, straight).select(F.col("service").alias("node"), "detour")
 
 
 @query(f"WITH RECURSIVE seeds AS (SELECT 'walk' AS m, 0 AS o, node, min(dist) AS d FROM (SELECT s_suppkey % 35 AS node, (s_suppkey * 37 % 600)::DOUBLE AS dist FROM supplier WHERE s_suppkey % 8 = 1 AND s_suppkey * 37 % 600 <= 500) GROUP BY node), {_sp} SELECT CASE WHEN (node % 7) * 450.0 < 1100 THEN 'west' ELSE 'east' END AS area, count(*) AS nodes, count(*) FILTER (d <= 800) AS covered, round(count(*) FILTER (d <= 800)::DOUBLE / count(*), 4) AS ratio, median(d) AS median_m, max(d) AS max_m, 0::BIGINT AS unreachable FROM sp GROUP BY 1")
@@ -355,7 +358,14 @@ _essential = [f"cat{i}" for i in range(6)]
 @query(_with_profile.rstrip() + ", d AS (SELECT a.n_nationkey AS src, b.n_nationkey AS dst, x.category, x.n AS an, y.n AS bn FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey JOIN pf x ON x.o = a.n_nationkey AND x.m = 'walk' AND x.category < 'cat6' JOIN pf y ON y.o = b.n_nationkey AND y.m = 'walk' AND y.category = x.category) SELECT src, dst, sum(an)::BIGINT AS a_total, sum(bn)::BIGINT AS b_total, abs(sum(an) - sum(bn))::BIGINT AS difference, round(greatest(sum(an), sum(bn))::DOUBLE / nullif(least(sum(an), sum(bn)), 0), 2) AS ratio, arg_min(category, (-abs(an - bn), category)) AS widest, max(abs(an - bn))::BIGINT AS widest_gap FROM d GROUP BY src, dst")
 def adjacent_contrast(spark, sf_dir):
     pairs = trade_graph(spark, sf_dir).edges("ADJACENT_TO").select(*(F.split(c, ":")[1].cast("int").alias(c) for c in ("src", "dst")))
-    return questions.adjacent_contrasts(_profiles(spark, sf_dir), pairs, "walk", _essential)
+    return questions.adjacent_contrasts(_profiles(spark, sf_dir), pairs, "walk", _essential).drop("by_category")
+
+
+@query(_with_profile + "SELECT a.n_nationkey AS src, b.n_nationkey AS dst, string_agg(x.category || ':' || (x.n - y.n), ',' ORDER BY x.category) AS by_category FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey JOIN pf x ON x.o = a.n_nationkey AND x.m = 'bike' AND x.category < 'cat6' JOIN pf y ON y.o = b.n_nationkey AND y.m = 'bike' AND y.category = x.category GROUP BY 1, 2")
+def adjacent_contrast_signed(spark, sf_dir):
+    pairs = trade_graph(spark, sf_dir).edges("ADJACENT_TO").select(*(F.split(c, ":")[1].cast("int").alias(c) for c in ("src", "dst")))
+    found = questions.adjacent_contrasts(_profiles(spark, sf_dir), pairs, "bike", _essential)
+    return found.select("src", "dst", F.array_join(F.transform("by_category", lambda x: F.concat_ws(":", x["category"], x["difference"])), ",").alias("by_category"))
 
 
 @query(_with_profile + "SELECT category, round(avg(n), 1) AS mean, round(stddev_pop(n), 1) AS stdev, round(stddev_pop(n) / nullif(avg(n), 0), 3) AS cv, min(n) AS low, max(n) AS high, count(*) FILTER (n = 0) AS zeros, arg_min(o, (n, o)) AS worst, arg_min(o, (-n, -o)) AS best FROM pf WHERE m = 'bike' AND category < 'cat6' GROUP BY category")
@@ -486,19 +496,21 @@ def _snaps(spark, sf_dir):
 
 @query(f"SELECT category, count(*) AS n, count(*) FILTER (name IS NULL) AS unnamed, count(*) FILTER (d > 150 AND d <= 500) AS poor, count(*) FILTER (d > 500) AS failed FROM ({_snap}) GROUP BY 1")
 def quality_profile(spark, sf_dir):
-    grade = X.snap_quality(F.col("d"))
-    return _snaps(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("name").isNull()).alias("unnamed"), F.count_if(grade == "poor").alias("poor"), F.count_if(grade == "unreachable").alias("failed"))
+    return _report(spark, sf_dir).select("category", F.col("services").alias("n"), "unnamed", "poor", "failed")
+
+
+def _report(spark, sf_dir):
+    return service_report(_snaps(spark, sf_dir).select("category", F.lit("walk").alias("network"), "name", F.col("d").alias("distance_m"), F.lit("trade").alias("source")))
 
 
 @query(f"SELECT category, median(d) AS median_m, round(quantile_cont(d, 0.95), 6) AS p95_m, max(d) AS max_m FROM ({_snap}) WHERE d <= 500 GROUP BY 1")
 def snap_percentiles(spark, sf_dir):
-    return _snaps(spark, sf_dir).where("d <= 500").groupBy("category").agg(F.median("d").alias("median_m"), F.round(F.percentile("d", 0.95), 6).alias("p95_m"), F.max("d").alias("max_m"))
+    return _report(spark, sf_dir).select("category", "median_m", F.round("p95_m", 6).alias("p95_m"), "max_m")
 
 
-@query("SELECT CASE p_size % 4 WHEN 0 THEN 'Tram' WHEN 1 THEN 'Bus' WHEN 2 THEN 'Rail' ELSE 'Transit' END AS vehicle, count(*) AS routes FROM part GROUP BY 1")
+@query("SELECT CASE p_size % 12 WHEN 0 THEN 'Tram' WHEN 1 THEN 'Metro' WHEN 2 THEN 'Train' WHEN 3 THEN 'Bus' WHEN 4 THEN 'Ferry' WHEN 5 THEN 'Cable tram' WHEN 6 THEN 'Aerial lift' WHEN 7 THEN 'Funicular' WHEN 11 THEN 'Trolleybus' ELSE 'Transit' END AS vehicle, count(*) AS routes FROM part GROUP BY 1")
 def route_vehicle_counts(spark, sf_dir):
-    label = F.create_map(*(F.lit(x) for kv in {0: "Tram", 1: "Bus", 2: "Rail"}.items() for x in kv))
-    return table(spark, sf_dir, "part").groupBy(F.coalesce(F.try_element_at(label, F.col("p_size") % 4), F.lit("Transit")).alias("vehicle")).agg(F.count("*").alias("routes"))
+    return table(spark, sf_dir, "part").groupBy(vehicle(F.col("p_size") % 12).alias("vehicle")).agg(F.count("*").alias("routes"))
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE regexp_replace(trim(p_name), '\\s+', ' ', 'g') END AS name, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS key FROM part")
@@ -550,6 +562,18 @@ def events_session(spark, sf_dir):
     return streams.sessions(table(spark, sf_dir, "events"), "6 hours")
 
 
-@query("SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY 1, 2")
+@query("SELECT DISTINCT user_id, event_type, date_trunc('day', ts)::TIMESTAMP AS day FROM events")
 def events_dedup_watermark(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("ts").alias("ts"))
+    events = table(spark, sf_dir, "events").withColumn("day", F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    return streams.without_duplicates(events, ["user_id", "event_type", "day"]).select("user_id", "event_type", "day")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts + INTERVAL 30 MINUTE * k) AS start, event_type, count(*) AS n FROM (SELECT DATE_TRUNC('hour', ts) + CASE WHEN minute(ts) >= 30 THEN INTERVAL 30 MINUTE ELSE INTERVAL 0 MINUTE END AS ts, event_type FROM events), (VALUES (0)) t(k) GROUP BY ALL".replace("time_bucket(INTERVAL 1 HOUR, ts + INTERVAL 30 MINUTE * k)", "ts - INTERVAL 30 MINUTE * k").replace("(VALUES (0))", "(VALUES (0), (1))"))
+def events_sliding(spark, sf_dir):
+    return streams.tumbling(table(spark, sf_dir, "events"), "1 hour", "30 minutes").select("start", "event_type", "n")
+
+
+@query("SELECT event_id, n_name AS name FROM events LEFT JOIN nation ON user_id % 40 = n_nationkey")
+def events_enriched(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("k", F.col("user_id") % 40)
+    return streams.enriched(events, table(spark, sf_dir, "nation"), "k", "n_nationkey").select("event_id", F.col("n_name").alias("name"))
