@@ -17,8 +17,8 @@ from .catalog import CATEGORY_LABELS, ESSENTIAL
 from .city import QUESTIONS, City
 from .errors import EngineError, NotFoundError, QuerySpecError
 from .operators import routing
-from .plans.compile import execute
 from .provenance import entity_provenance, query_provenance, relation_provenance, status
+from .trace import health, question_fields, traced
 
 MOST_ROWS, MOST_AREAS, MOST_NODES = 1000, 25, 500
 GEOMETRY = ("geometry", "_ord")
@@ -64,11 +64,13 @@ class Engine:
         return {"nodes": kept[:limit], "edges": edges, "node_count": min(len(kept), limit), "depth": depth, "truncated": len(kept) > limit}
 
     def query(self, raw: dict) -> dict:
-        got = execute(self.graph, raw)
-        return {"results": got["rows"], "count": got["count"], "truncated": got["truncated"], "provenance": query_provenance(raw, self.graph.catalog)}
+        got = traced(self.graph, raw)
+        return {"results": got["rows"], "count": got["count"], "truncated": got["truncated"], "execution": got["execution"], "provenance": query_provenance(raw, self.graph.catalog)}
 
     def ask(self, question: str, **told) -> dict:
-        return {"question": question, "results": rows(self.city.ask(question, **told)), "parameters": told}
+        found = rows(self.city.ask(question, **told))
+        own = {k: v for k, v in told.items() if k not in ("mode", "minutes")}
+        return {"question": question, "results": found, "parameters": told, "fields": question_fields(question, told.get("mode", "walk"), float(told.get("minutes", 15)), **own)}
 
     def provenance(self, identifier: str) -> dict:
         if identifier in self.graph.catalog.relations:
@@ -98,8 +100,15 @@ class Engine:
         missing = [c for c in ESSENTIAL if c not in present]
         return {"mode": mode, "minutes": minutes, "snapped_origin": {"node_id": at["node"], "snap_distance_m": round(at["snap_m"], 1)}, "reachable_services": found, "completeness": {"reachable_count": len(present), "total": len(ESSENTIAL), "missing_categories": missing, "ratio": round(len(present) / len(ESSENTIAL), 3)}}
 
-    def route(self, lat: float, lon: float, service: str, mode: str = "walk") -> dict:
-        """The cheapest way on streets from a place to a service: nodes and length, with the way off the network to the service."""
+    def route(self, lat: float, lon: float, service: str, mode: str = "walk", departure_time=None) -> dict:
+        """The cheapest way from a place to a service: on streets its nodes and length, with the way off the network to the service; by
+        transit its steps."""
+        if mode == "transit" and "transit" in self.city.modes:
+            wanted = self.city.spark.createDataFrame([(service,)], "id string")
+            found = self.city.transit_routes(self._point(lat, lon), wanted, 60, departure_time).first()
+            if found is None:
+                raise NotFoundError(f"{service!r} cannot be reached", mode=mode)
+            return {"service": service, "minutes": found["minutes"], "vehicles": found["vehicles"], "steps": [x.asDict() for x in found["steps"]]}
         if mode not in self.city.networks:
             raise QuerySpecError(f"routes are found on {', '.join(self.city.networks)}")
         to = self.city.access().where((F.col("id") == service) & (F.col("network") == mode) & F.col("node").isNotNull()).first()
@@ -175,7 +184,7 @@ class Engine:
             raise NotFoundError(f"nothing is posted to {'/'.join(path)}")
         match path:
             case ["health"]:
-                return {"status": "ok", "modes": self.city.modes}
+                return health(status(self.graph)["nodes"], {}, self.city.modes, ("Neighborhood", "ServiceLocation"))
             case ["data", "status"] | ["spatial-graph", "status"]:
                 return status(self.graph)
             case ["services"]:
@@ -187,8 +196,8 @@ class Engine:
             case ["accessibility"] | ["accessibility", "walk"] | ["accessibility", "bike"] | ["accessibility", "transit"]:
                 mode = path[1] if len(path) == 2 else p.get("mode", "walk")
                 return self.accessibility(p["lat"], p["lon"], mode, number("minutes", 15, float), when, number("max_transfers", 1))
-            case ["accessibility", "walk" | "bike", "route"]:
-                return self.route(p["lat"], p["lon"], p["service"], path[1])
+            case ["accessibility", "walk" | "bike" | "transit", "route"]:
+                return self.route(p["lat"], p["lon"], p["service"], path[1], when)
             case ["accessibility", "compare"]:
                 return {m: self.accessibility(p["lat"], p["lon"], m, number("minutes", 15, float), when) for m in self.city.modes}
             case ["transit", "stops"]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .catalog import CATEGORY_LABELS, CITY, ESSENTIAL
 from .errors import DataUnavailableError, QuerySpecError
-from .functions.exprs import in_range, ring_area, share, to_lv95
+from .functions.exprs import format_service_time, in_range, ring_area, share, to_lv95
 from .graph import PropertyGraph
 from .operators import questions, routing, spatial, transit
 
@@ -285,15 +285,9 @@ class City:
             budget = routing.budget_m(minutes, speed)
             costs = routing.shortest_paths(self.seeds(origins, mode).select("origin", "node", F.lit(0.0).alias("cost")), self.edges(mode), budget)
             return routing.reachable_services(costs, on(mode), budget).select("origin", "service", "category", (F.col("distance_m") / (speed * 1000 / 60)).alias("minutes"))
-        moment, t = parse_departure(departure), self._timetable()
-        day = self.service_day(moment.date())
-        start = int((moment.replace(tzinfo=None) - datetime.combine(day, datetime.min.time())).total_seconds())
-        if day != moment.date():  # another day's timetable, at the same time of the day
-            start = moment.hour * 3600 + moment.minute * 60 + moment.second
-        budget = minutes * 60.0
+        t, budget = self._timetable(), minutes * 60.0
+        start, calls = self._departures(departure)
         seeds, edges, near, per_m = self._walks(origins, minutes)
-        run = lambda d: transit.active_services(t["calendar"], t["exceptions"], d)
-        calls = transit.day_view(t["stop_times"], t["trips"], run(day), run(day - timedelta(days=1)))
         there = transit.earliest_arrivals(near.select("origin", "stop", (F.lit(start) + F.col("at")).cast("int").alias("ready")), calls, t["transfers"], int(start + budget), max_transfers)
         elapsed = F.col("arrival") - start + F.col("distance_m") * per_m
         off = there.join(self.stop_access().where("node is not null").select(F.col("id").alias("stop"), "node", "distance_m"), "stop").where(elapsed <= budget)
@@ -302,6 +296,60 @@ class City:
         walk = on("walk").withColumn("distance_m", F.col("distance_m") * per_m)
         return routing.reachable_services(costs, walk, budget).select("origin", "service", "category", (F.col("distance_m") / 60).alias("minutes"))
 
+    def _departures(self, departure) -> tuple[int, DataFrame]:
+        """When a journey begins, in seconds of the service day, and that day's calls."""
+        moment, t = parse_departure(departure), self._timetable()
+        day = self.service_day(moment.date())
+        start = int((moment.replace(tzinfo=None) - datetime.combine(day, datetime.min.time())).total_seconds())
+        if day != moment.date():  # another day's timetable, at the same time of the day
+            start = moment.hour * 3600 + moment.minute * 60 + moment.second
+        run = lambda d: transit.active_services(t["calendar"], t["exceptions"], d)
+        return start, transit.day_view(t["stop_times"], t["trips"], run(day), run(day - timedelta(days=1)))
+
+    def transit_routes(self, origins: DataFrame, services: DataFrame, minutes: float = 60, departure=None, max_transfers: int = 1) -> DataFrame:
+        """(origin, service, minutes, vehicles, steps) of the quickest way from points to services (id), on foot or with vehicles.
+
+        The way from a last stop is found backwards from the services, so that all pairs share two searches.
+        """
+        start, calls = self._departures(departure)
+        budget = minutes * 60.0
+        seeds, edges, near, per_m = self._walks(origins, minutes)
+        at = self.access().where("network = 'walk' and node is not null").join(services.select("id"), "id", "left_semi")
+        back = routing.shortest_paths(at.select(F.col("id").alias("origin"), "node", (F.col("distance_m") * per_m).alias("cost")), edges, budget).select(F.col("origin").alias("service"), "node", F.col("cost").alias("egress"))
+        walked = seeds.join(back, "node").groupBy("origin", "service").agg(F.min(F.col("cost") + F.col("egress")).alias("seconds")).where(F.col("seconds") <= budget)
+        rides = transit.journeys(near.select("origin", "stop", (F.lit(start) + F.col("at")).cast("int").alias("ready")), calls, self._timetable()["transfers"], int(start + budget), max_transfers).where("vehicles > 0")
+        off = self.stop_access().where("node is not null").select(F.col("id").alias("stop"), "node", "distance_m")
+        total = F.col("arrival") - start + F.col("distance_m") * per_m + F.col("egress")
+        ridden = rides.join(off, "stop").join(back, "node").withColumn("seconds", total).where(F.col("seconds") <= budget)
+        steps = transit.steps(F.lit(start), F.col("legs"), F.col("distance_m") * per_m + F.col("egress"))
+        walk = F.array(F.struct(F.lit("walk").alias("kind"), F.lit(None).cast("string").alias("run"), F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("dst"), F.round("seconds").cast("int").alias("seconds")))
+        both = walked.select("origin", "service", "seconds", F.lit(0).alias("vehicles"), walk.alias("steps")).unionByName(ridden.select("origin", "service", "seconds", "vehicles", steps.alias("steps")))
+        best = both.groupBy("origin", "service").agg(F.min(F.struct("seconds", "vehicles", "steps")).alias("m"))
+        return best.select("origin", "service", F.round(F.col("m.seconds") / 60, 1).alias("minutes"), F.col("m.vehicles").alias("vehicles"), F.col("m.steps").alias("steps"))
+
+    def transit_features(self, origins: DataFrame, minutes: float = 15, departure=None, max_transfers: int = 1) -> DataFrame:
+        """(origin, kind, value): GeoJSON features of the streets in walking reach, the rides taken and the stops reached by vehicle."""
+        start, calls = self._departures(departure)
+        budget = minutes * 60.0
+        seeds, edges, near, _ = self._walks(origins, minutes)
+        t = self._timetable()
+        nodes = self.networks["walk"][0]
+        end = lambda n: nodes.select(F.col("node").alias(n), F.array(F.round("lon", 6), F.round("lat", 6)).alias(f"{n}_at"))
+        line = lambda a, b: F.struct(F.lit("LineString").alias("type"), F.array(a, b).alias("coordinates"))
+        feature = lambda geometry, **more: F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*(v.alias(k) for k, v in more.items())).alias("properties")))
+        streets = routing.reachable_edges(routing.shortest_paths(seeds, edges, budget), edges).join(end("u"), "u").join(end("v"), "v")
+        streets = streets.select("origin", F.lit("reachable_edge").alias("kind"), feature(line(F.col("u_at"), F.col("v_at")), kind=F.lit("reachable_edge")).alias("value"))
+        found = transit.journeys(near.select("origin", "stop", (F.lit(start) + F.col("at")).cast("int").alias("ready")), calls, t["transfers"], int(start + budget), max_transfers)
+        place = lambda n: t["stops"].select(F.col("stop").alias(n), F.array(F.round("lon", 6), F.round("lat", 6)).alias(f"{n}_at"))
+        rides = found.select("origin", F.explode("legs").alias("x")).where("x.kind = 'ride'").select("origin", "x.run", "x.src", "x.dst").distinct()
+        lines = t["trips"].join(t["routes"], "route").select(F.col("trip").alias("run"), vehicle(F.col("route_type")).alias("vehicle"))
+        rides = rides.withColumn("run", F.regexp_replace("run", "<$", "")).join(lines, "run").select("origin", "src", "dst", "vehicle").distinct().join(place("src"), "src").join(place("dst"), "dst")
+        rides = rides.select("origin", F.lit("transit_segment").alias("kind"), feature(line(F.col("src_at"), F.col("dst_at")), kind=F.lit("transit_segment"), vehicle=F.col("vehicle")).alias("value"))
+        point = F.struct(F.lit("Point").alias("type"), F.col("stop_at").alias("coordinates"))
+        stops = found.where("vehicles > 0").join(place("stop"), "stop")
+        stops = stops.select("origin", F.lit("transit_stop").alias("kind"), feature(point, kind=F.lit("transit_stop"), arrival=format_service_time(F.col("arrival")), minutes=F.round((F.col("arrival") - start) / 60, 1)).alias("value"))
+        return streets.unionByName(rides).unionByName(stops)
+
     def profile(self, origins: DataFrame, mode: str, minutes: float = 15, departure=None, max_transfers: int = 1) -> DataFrame:
         """(origin, category, n, nearest_minutes, nearest_name) for each point and each of the categories, also those not reached."""
         found = self.reached(origins, mode, minutes, departure, max_transfers)

@@ -82,7 +82,7 @@ def _grouped(seeds: DataFrame, edges: DataFrame, cutoff: float | None) -> DataFr
     return seeds.select("origin", "node", "cost").groupBy("origin").applyInArrow(search, schema)
 
 
-def _cutter(spark):
+def cutter(spark):
     """Cuts a loop's lineage: to the shared checkpoint folder where one is told, so that a lost executor does not replay the loop."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told and not spark.sparkContext.getCheckpointDir():
@@ -95,7 +95,7 @@ def _cutter(spark):
 
 
 def _relational(seeds: DataFrame, edges: DataFrame, cutoff: float | None) -> DataFrame:
-    cut = _cutter(seeds.sparkSession)
+    cut = cutter(seeds.sparkSession)
     pick = F.min(F.struct("cost", "pred")).alias("b")
     state = seeds.select("origin", "node", F.col("cost").cast("double"), F.lit(None).cast(seeds.schema["node"].dataType).alias("pred"))
     state = cut(state.groupBy("origin", "node").agg(pick).select("origin", "node", "b.cost", "b.pred"))
@@ -170,7 +170,7 @@ def route(costs: DataFrame, target) -> list:
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component, size) by least-label propagation with pointer jumping."""
-    cut = _cutter(nodes.sparkSession)
+    cut = cutter(nodes.sparkSession)
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     labels = nodes.select("node", F.col("node").alias("component"))
     while True:

@@ -7,6 +7,8 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .routing import cutter
+
 DAY, INTERCHANGE = 86_400, 90
 
 
@@ -86,6 +88,15 @@ def asof_forward(left: DataFrame, right: DataFrame, key: str, time: str, right_t
     return l.unionByName(r).withColumn("_m", first).where("_side = 0").select(*left.columns, *(F.col(f"_m.{c}").alias(f"next_{c}") for c in take))
 
 
+def _improved(found: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A round's stops, written to the shared folder so that no later round runs it again; those at which one is ready earlier than in
+    all rounds before (others lead nowhere new); and the earliest of all rounds."""
+    old = known.select("origin", "stop", F.col("ready").alias("_old"))
+    found = cutter(found.sparkSession)(found.join(old, ["origin", "stop"], "left").withColumn("_new", F.expr("_old is null or ready < _old")).drop("_old"))
+    better = found.where("_new").drop("_new")
+    return found.drop("_new"), better, known.unionByName(better.select("origin", "stop", "ready")).groupBy("origin", "stop").agg(F.min("ready").alias("ready"))
+
+
 def earliest_arrivals(initial: DataFrame, calls: DataFrame, transfers: DataFrame, limit: int, max_transfers: int = 3) -> DataFrame:
     """(origin, stop, arrival, vehicles) from initial (origin, stop, ready), in rounds of one ride and one walk each.
 
@@ -93,7 +104,8 @@ def earliest_arrivals(initial: DataFrame, calls: DataFrame, transfers: DataFrame
     """
     walked = initial.join(transfers, F.col("stop") == F.col("src")).select("origin", F.col("dst").alias("stop"), (F.col("ready") + F.col("seconds")).alias("ready")).where(F.col("ready") <= limit)
     ready = initial.select("origin", "stop", "ready").unionByName(walked).groupBy("origin", "stop").agg(F.min("ready").alias("ready"))
-    best = ready.select("origin", "stop", F.col("ready").alias("arrival"), F.lit(0).alias("vehicles"))
+    best, known = ready.select("origin", "stop", F.col("ready").alias("arrival"), F.lit(0).alias("vehicles")), ready.select("origin", "stop", "ready")
+    calls, transfers = (cutter(initial.sparkSession)(x) for x in (calls.where(F.col("arr") <= limit), transfers))  # every round reads them
     on = calls.where(F.col("dep") <= limit).select(F.col("run").alias("r"), F.col("stop").alias("board"), F.col("dep").alias("bdep"), F.col("pos").alias("bpos"))
     off = calls.select(F.col("run").alias("r"), F.col("stop").alias("alight"), "arr", "pos")
     for k in range(1, min(max_transfers, 3) + 2):
@@ -102,8 +114,10 @@ def earliest_arrivals(initial: DataFrame, calls: DataFrame, transfers: DataFrame
         walks = rides.join(transfers, F.col("stop") == F.col("src")).select("origin", F.col("dst").alias("stop"), (F.col("arrival") + F.col("seconds")).alias("arrival")).where(F.col("arrival") <= limit)
         both = rides.withColumn("ready", F.col("arrival") + INTERCHANGE).unionByName(walks.withColumn("ready", F.col("arrival")))
         found = both.groupBy("origin", "stop").agg(F.min("arrival").alias("arrival"), F.min("ready").alias("ready")).withColumn("vehicles", F.lit(k))
-        ready = found.select("origin", "stop", "ready")
+        found, ready, known = _improved(found, known)
         best = best.unionByName(found.select("origin", "stop", "arrival", "vehicles"))
+        if not ready.limit(1).count():
+            break
     return best.groupBy("origin", "stop").agg(F.min(F.struct("arrival", "vehicles")).alias("m")).select("origin", "stop", "m.arrival", "m.vehicles")
 
 
@@ -117,13 +131,14 @@ def journeys(initial: DataFrame, calls: DataFrame, transfers: DataFrame, limit:
     """
     leg = lambda kind, run, src, dst, dep, arr: F.struct(F.lit(kind).alias("kind"), run.alias("run"), src.alias("src"), dst.alias("dst"), dep.alias("dep"), arr.alias("arr"))
     ready = initial.select("origin", "stop", F.col("ready").cast("int"), F.col("ready").cast("int").alias("start"), F.array().cast(LEG).alias("legs"))
+    calls, transfers = (cutter(initial.sparkSession)(x) for x in (calls.where(F.col("arr") <= limit), transfers))  # every round reads them
     on = calls.where(F.col("dep") <= limit).select(F.col("run").alias("r"), F.col("stop").alias("board"), F.col("dep").alias("bdep"), F.col("pos").alias("bpos"))
     off = calls.select(F.col("run").alias("r"), F.col("stop").alias("alight"), "arr", "pos")
     walk = transfers.select(F.col("src").alias("wsrc"), F.col("dst").alias("wdst"), "seconds")
     at = (F.col("ready") + F.col("seconds")).cast("int")
     walked = ready.join(walk, F.col("stop") == F.col("wsrc")).where(at <= limit).select("origin", F.col("wdst").alias("stop"), at.alias("ready"), "start", F.array(leg("walk", F.lit(None).cast("string"), F.col("wsrc"), F.col("wdst"), F.col("ready"), at)).cast(LEG).alias("legs"))
     ready = ready.unionByName(walked).groupBy("origin", "stop").agg(F.min(F.struct("ready", "legs", "start")).alias("m")).select("origin", "stop", "m.ready", "m.start", "m.legs")
-    best = ready.select("origin", "stop", F.col("ready").alias("arrival"), F.lit(0).alias("vehicles"), "start", "legs")
+    best, known = ready.select("origin", "stop", F.col("ready").alias("arrival"), F.lit(0).alias("vehicles"), "start", "legs"), ready.select("origin", "stop", "ready")
     for k in range(1, min(max_transfers, 3) + 2):
         boarded = ready.join(on, (F.col("stop") == F.col("board")) & (F.col("bdep") >= F.col("ready"))).groupBy("origin", "r").agg(F.min(F.struct("bpos", "legs", "board", "bdep", "start")).alias("b"))
         rides = boarded.join(off, "r").where((F.col("pos") > F.col("b.bpos")) & (F.col("arr") <= limit))
@@ -133,8 +148,13 @@ def journeys(initial: DataFrame, calls: DataFrame, transfers: DataFrame, limit:
         walks = rides.join(walk, F.col("stop") == F.col("wsrc")).where(arrives <= limit)
         walks = walks.select("origin", F.col("wdst").alias("stop"), arrives.alias("arrival"), F.concat("legs", F.array(leg("walk", F.lit(None).cast("string"), F.col("wsrc"), F.col("wdst"), F.col("arrival"), arrives))).alias("legs"), "start")
         both = rides.withColumn("ready", F.col("arrival") + INTERCHANGE).unionByName(walks.withColumn("ready", F.col("arrival")))
-        best = best.unionByName(both.select("origin", "stop", "arrival", F.lit(k).alias("vehicles"), "start", "legs"))
-        ready = both.groupBy("origin", "stop").agg(F.min(F.struct("ready", "legs", "start")).alias("m")).select("origin", "stop", "m.ready", "m.start", "m.legs")
+        least = F.min(F.struct("arrival", "legs", "start")).alias("a")
+        found = both.groupBy("origin", "stop").agg(F.min(F.struct("ready", "legs", "start")).alias("m"), least).select("origin", "stop", "a", "m.ready", "m.start", "m.legs")
+        found, ready, known = _improved(found, known)
+        best = best.unionByName(found.select("origin", "stop", "a.arrival", F.lit(k).alias("vehicles"), "a.start", "a.legs"))
+        ready = ready.drop("a")
+        if not ready.limit(1).count():
+            break
     out = best.groupBy("origin", "stop").agg(F.min(F.struct("arrival", "vehicles", "legs", "start")).alias("m")).select("origin", "stop", "m.*")
     spent = lambda kind: F.aggregate(F.filter("legs", lambda x: x["kind"] == kind), F.lit(0), lambda s, x: s + x["arr"] - x["dep"])
     out = out.withColumn("ride_s", spent("ride")).withColumn("walk_s", spent("walk"))
@@ -147,6 +167,31 @@ def itinerary(legs: F.Column) -> F.Column:
     return F.array_join(F.transform(legs, step), "; ")
 
 
+def steps(start: F.Column, legs: F.Column, egress: F.Column | None = None) -> F.Column:
+    """A journey as steps (kind, run, src, dst, seconds): walk, wait, ride ..., and with ``egress`` (seconds) the walk at its end.
+    What passes between the start and the first leg is the way to the stop and the wait there, told as one walk."""
+    none = F.lit(None).cast("string")
+    made = lambda kind, run, src, dst, seconds: F.struct(F.lit(kind).alias("kind"), run.alias("run"), src.alias("src"), dst.alias("dst"), seconds.cast("int").alias("seconds"))
+
+    def step(x, i):
+        before = F.when(i == 0, start).otherwise(F.try_element_at(legs, i)["arr"])
+        gap = x["dep"] - before
+        own = F.when(x["kind"] == "ride", made("ride", x["run"], x["src"], x["dst"], x["arr"] - x["dep"])).otherwise(made("walk", none, x["src"], x["dst"], x["arr"] - x["dep"]))
+        pause = F.when(i == 0, made("walk", none, none, x["src"], gap)).otherwise(made("wait", none, x["src"], x["src"], gap))
+        return F.when(gap > 0, F.array(pause, own)).otherwise(F.array(own))
+
+    out = F.flatten(F.transform(legs, step))
+    return out if egress is None else F.concat(out, F.array(made("walk", none, F.try_element_at(legs, F.lit(-1))["dst"], none, F.round(egress))))
+
+
+def with_detail(rows: DataFrame, journeys: DataFrame, order: str = "minutes", most: int = 12) -> DataFrame:
+    """``rows`` (origin, category, service, ...) with the journey (of ``journeys``: origin, service, steps) of the first ``most`` of each origin and category; the others have none."""
+    near = Window.partitionBy("origin", "category").orderBy(order, "service")
+    ranked = rows.withColumn("_r", F.row_number().over(near))
+    found = journeys.select("origin", "service", "steps")
+    return ranked.join(found, ["origin", "service"], "left").withColumn("steps", F.when(F.col("_r") <= most, F.col("steps"))).drop("_r")
+
+
 def used_segments(found: DataFrame) -> DataFrame:
     """Distinct rides (run, src, dst) of all journeys."""
     return found.select(F.explode("legs").alias("x")).where("x.kind = 'ride'").select("x.run", "x.src", "x.dst").distinct()

@@ -129,3 +129,12 @@ def city(spark: SparkSession):
         spark.createDataFrame(SCHOOLS, "id string, lon double, lat double"),
         spark.createDataFrame(ACCIDENTS, "id string, lon double, lat double"),
     )
+
+
+def page_of(offset: int, limit: int, order_by: str | None = None) -> list[dict]:
+    """A service of 253 records that knows no order."""
+    from .readers import BadRequest
+
+    if order_by:
+        raise BadRequest(order_by)
+    return [{"k": k, "name": f"record {k}"} for k in range(offset, min(offset + limit, 253))]

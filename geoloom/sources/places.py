@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.exprs import first_nonempty, in_range, normalize_name, position_id, ring_area, ring_centroid, safe_id, to_lv95
 from ..operators import routing, spatial
@@ -20,7 +21,7 @@ AREA_ONLY = {"park": 500.0}
 CLOSED = ["private", "no", "permit"]
 OUTLINE_M = 5.0
 
-RING = "array<struct<x:double,y:double>>"
+RING = ArrayType(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())]))
 
 
 def first_scalar(c: Column) -> Column:

@@ -82,3 +82,11 @@ def stale(told: dict, found: dict) -> dict[str, str]:
 
 def dumps(rows: list[dict]) -> str:
     return json.dumps(rows, ensure_ascii=False, default=str)
+
+
+def console(rows: list[dict], columns: list[str]) -> str:
+    """Rows as a table of text, as wide as its values."""
+    text = [[str("" if r.get(c) is None else r[c]) for c in columns] for r in rows]
+    width = [max([len(c), *(len(t[i]) for t in text)]) for i, c in enumerate(columns)]
+    line = lambda values: " | ".join(v.ljust(w) for v, w in zip(values, width, strict=True))
+    return "\n".join([line(columns), "-+-".join("-" * w for w in width), *map(line, text)])
