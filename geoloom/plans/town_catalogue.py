@@ -9,6 +9,7 @@ from ..operators import routing, spatial
 from ..quality import service_report
 from ..sources import town as T
 from .catalogue import _years, flat, query
+from .compile import compile_query
 
 
 def _east(lon: str, lat: str) -> str:
@@ -236,3 +237,27 @@ def town_routes(spark, sf_dir):
 @query(f"WITH {_calls}, {_near}, {_labels} SELECT vehicle, count(*) AS routes, sum(n)::BIGINT AS stops FROM (SELECT route, vehicle, count(DISTINCT station) AS n FROM kept JOIN v USING (route) WHERE station IN (SELECT stop FROM inc) GROUP BY 1, 2) GROUP BY 1")
 def town_routes_by_vehicle(spark, sf_dir):
     return T.town(spark, sf_dir, T.feed(spark, sf_dir)).route_nodes().groupBy("vehicle").agg(F.count("*").alias("routes"), F.sum("stop_count").alias("stops"))
+
+
+# Query documents over the town
+
+
+def _document(name: str, raw: dict, sql: str) -> None:
+    query(sql, f"town_{name}")(lambda spark, sf_dir: flat(compile_query(T.town(spark, sf_dir).graph(), raw)))
+
+
+_document(
+    "culture_in_reach",
+    {"start": {"type": "Neighborhood", "filters": [{"field": "wov_id", "op": "ne", "value": "0"}]}, "analyses": [{"as": "near", "analysis": "accessibility", "mode": "walk", "minutes": 15, "category": "culture", "operator": "count_gte", "value": 1}], "return": ["wov_id", "near.count", "near.nearest_minutes"], "limit": 100},
+    _from_areas + _reach + " SELECT n_nationkey::VARCHAR AS wov_id, count(*) AS near_count, round(min(re.d) / 80, 1) AS near_nearest_minutes FROM nation JOIN re ON re.o = 'area:' || n_nationkey AND re.category = 'culture' WHERE n_nationkey <> 0 GROUP BY 1",
+)
+_document(
+    "sport_beside",
+    {"start": {"type": "Neighborhood"}, "traverse": [{"relation": "ADJACENT_TO", "as": "beside", "min_count": 4}, {"relation": "HAS_SERVICE", "as": "halls", "from": "beside", "filters": [{"field": "category", "op": "eq", "value": "sport"}]}], "rank": {"by": "halls.count", "order": "desc"}, "return": ["wov_id", "beside.count", "halls.count"], "limit": 100},
+    _town + ", adj AS (SELECT a.n_nationkey AS a, 'area:' || b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey AND abs(a.n_nationkey % 5 - b.n_nationkey % 5) <= 1 AND abs(a.n_nationkey // 5 - b.n_nationkey // 5) <= 1) SELECT a::VARCHAR AS wov_id, count(DISTINCT b) AS beside_count, count(DISTINCT s.id) AS halls_count FROM adj LEFT JOIN s ON s.area = b AND category = 'sport' GROUP BY a HAVING count(DISTINCT b) >= 4",
+)
+_document(
+    "places_by_access",
+    {"start": {"type": "StreetAccessPoint", "filters": [{"field": "attached_count", "op": "gte", "value": 1}]}, "traverse": [{"relation": "ATTACHES", "as": "there"}], "group_by": ["network"], "aggregate": [{"function": "count", "field": "there.id", "as": "attached"}, {"function": "max", "field": "attached_count", "as": "most"}]},
+    _town + "SELECT m AS network, sum(n)::BIGINT AS attached, max(n) AS most FROM (SELECT m, node, count(*) AS n FROM acc WHERE d <= 500 GROUP BY 1, 2) GROUP BY 1",
+)
