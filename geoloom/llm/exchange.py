@@ -4,10 +4,15 @@ A table is packed once into shards (rows of compressed Arrow batches in a writte
 about its distinct 64-bit keys: sorted, cut into buckets by range, delta-coded. A bucket sees every
 shard's keys of its range and answers each shard in the order of its keys. Keys are hashes, so buckets
 are even whatever repeats; a key that a third of all rows hold counts once a shard.
+
+Shards and buckets both grow with the data, and a row for each pair of them would grow with its square. Beyond ``DIRECT``
+buckets the exchange has two levels: shards send to coarse ranges of buckets, groups of shards are merged there, and
+only the merged lists go on to single buckets; answers take the same way back.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,6 +31,9 @@ SHARD_BYTES, BUCKET_KEYS = 4 << 20, 2 << 20
 #: Bytes that array passes over texts take at a time.
 CACHED = 1 << 17
 
+#: Buckets up to which each shard writes to each of them.
+DIRECT = 1024
+
 U64 = np.uint64
 MULTIPLIERS = [U64(m) for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
@@ -153,7 +161,8 @@ def asked(shard: int, keys: np.ndarray, bits: int, buckets: int, counts: np.ndar
 
 
 def edges(bits: int, buckets: int) -> np.ndarray:
-    return np.array([min((b << bits) // buckets, (1 << 64) - 1) for b in range(buckets)] + [(1 << 64) - 1], np.uint64)
+    """First keys of the buckets, and the end of the last one; every ``coarse``-th one of ``coarse`` squared is an edge of ``coarse`` buckets too."""
+    return np.array([min(-(-(b << bits) // buckets), (1 << 64) - 1) for b in range(buckets)] + [(1 << 64) - 1], np.uint64)
 
 
 def keys_of(blob: bytes) -> tuple[np.ndarray, np.ndarray | None]:
@@ -178,6 +187,24 @@ def ask(rows: DataFrame, make: Callable, bits: int, buckets: int, *columns: str)
     return rows.select("shard", *columns).mapInArrow(run, ASKED)
 
 
+def merged(lists: list[tuple[np.ndarray, np.ndarray | None]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted lists of distinct keys (with counts or without): all keys, sorted, how much each counts (a list without counts: 1), and
+    where each key of each list stands among them."""
+    keys = np.concatenate([k for k, _ in lists])
+    counts = np.concatenate([np.ones(len(k), np.int64) if c is None else c.astype(np.int64) for k, c in lists])
+    distinct, place = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.int64), place
+
+
+def told_blobs(found: np.ndarray, lists: list, counted: bool) -> list[bytes]:
+    out, at = [], 0
+    for k, _ in lists:
+        part = found[at : at + len(k)]
+        out.append(squeeze(part) if counted else zstandard.compress(np.packbits(part).tobytes(), 1))
+        at += len(k)
+    return out
+
+
 def answer(questions: DataFrame) -> DataFrame:
     """For each shard and bucket: a bit a key (do several shards have it?), or the sum of its counts (65535 at most) where counts were sent."""
 
@@ -185,29 +212,66 @@ def answer(questions: DataFrame) -> DataFrame:
         shards = table.column("shard").to_pylist()
         lists = [keys_of(x.as_py()) for x in table.column("blob")]
         bucket = table.column("bucket")[0].as_py()
-        keys = np.concatenate([k for k, _ in lists])
         counted = lists[0][1] is not None
-        order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
-        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        sizes = np.diff(np.append(first, len(keys)))
-        if counted:
-            each = np.add.reduceat(np.concatenate([c for _, c in lists]).astype(np.int64)[order], first)
-            found = np.empty(len(keys), np.uint16)
-            found[order] = np.repeat(np.minimum(each, 65535), sizes)
-        else:
-            found = np.empty(len(keys), bool)
-            found[order] = np.repeat(sizes > 1, sizes)
-        out, at = [], 0
-        for k, _ in lists:
-            part = found[at : at + len(k)]
-            out.append(squeeze(part) if counted else zstandard.compress(np.packbits(part).tobytes(), 1))
-            at += len(k)
-        return pa.table({"shard": pa.array(shards, pa.int64()), "bucket": pa.array([bucket] * len(shards), pa.int32()), "blob": pa.array(out, pa.binary())})
+        _, counts, place = merged(lists)
+        found = np.minimum(counts, 65535).astype(np.uint16)[place] if counted else (counts > 1)[place]
+        return pa.table({"shard": pa.array(shards, pa.int64()), "bucket": pa.array([bucket] * len(shards), pa.int32()), "blob": pa.array(told_blobs(found, lists, counted), pa.binary())})
 
     return questions.groupBy("bucket").applyInArrow(run, ANSWERED)
 
 
+def two_levels(stages, name: str, questions: DataFrame, bits: int, coarse: int, shards: int) -> DataFrame:
+    """``answer`` for questions to ``coarse`` ranges, each of ``coarse`` buckets. About ``coarse`` shards make a group, whose lists in a range are
+    merged to one; rows are shards x coarse on both levels. The answers stand for the ranges."""
+    groups = max(1, -(-shards // coarse))
+    asked = stages.keep(questions.withColumn("grp", F.pmod(F.xxhash64("shard"), F.lit(groups)).cast("int")), name)
+    fine = coarse * coarse
+
+    def merge(table: pa.Table) -> pa.Table:
+        lists = [keys_of(x.as_py()) for x in table.column("blob")]
+        counted = lists[0][1] is not None
+        keys, counts, _ = merged(lists)
+        # the count of a list without counts tells in the next step whether one or several shards of the group have a key
+        out = list(asked_range(table.column("grp")[0].as_py(), keys, bits, fine, np.minimum(counts, 65535 if counted else 2), table.column("bucket")[0].as_py(), coarse))
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("bucket", "shard", "blob"), zip(*out, strict=True) if out else ([], [], []), (pa.int32(), pa.int64(), pa.binary()), strict=True)})
+
+    above = asked.groupBy("bucket", "grp").applyInArrow(merge, ASKED)
+    told = answer(above).select(F.col("shard").cast("int").alias("grp"), F.floor(F.col("bucket") / coarse).cast("int").alias("bucket"), F.col("bucket").alias("fine"), F.col("blob").alias("told"))
+
+    def split(key, mine: pa.Table, told: pa.Table) -> pa.Table:
+        lists = [keys_of(x.as_py()) for x in mine.column("blob")]
+        counted = lists[0][1] is not None
+        keys, _, place = merged(lists)
+        answers = {b: x.as_py() for b, x in zip(told.column("fine").to_pylist(), told.column("told"), strict=True)}
+        counts = counts_told(keys, answers, bits, fine)
+        found = counts[place] if counted else (counts > 1)[place]
+        return pa.table({"shard": mine.column("shard"), "bucket": mine.column("bucket"), "blob": pa.array(told_blobs(found, lists, counted), pa.binary())})
+
+    return asked.groupBy("bucket", "grp").cogroup(told.groupBy("bucket", "grp")).applyInArrow(split, ANSWERED)
+
+
+def asked_range(group: int, keys: np.ndarray, bits: int, buckets: int, counts: np.ndarray, part: int, coarse: int) -> Iterator[tuple[int, int, bytes]]:
+    """``asked`` for the buckets of one coarse range only."""
+    ends = edges(bits, buckets)[part * coarse : (part + 1) * coarse + 1]
+    cuts = np.searchsorted(keys, ends)
+    for j in range(coarse):
+        one = keys[cuts[j] : cuts[j + 1]]
+        if len(one):
+            deltas = squeeze(np.diff(one, prepend=U64(0)))
+            yield part * coarse + j, group, len(deltas).to_bytes(4, "little") + deltas + squeeze(counts[cuts[j] : cuts[j + 1]].astype(np.uint16))
+
+
+def ranges(buckets: int) -> int:
+    """The ranges of keys that answers stand for: the buckets, or beyond ``DIRECT`` coarse ranges of them."""
+    return buckets if buckets <= DIRECT else math.ceil(math.sqrt(buckets))
+
+
+def told_by(stages, name: str, rows: DataFrame, make: Callable, bits: int, buckets: int, *columns: str) -> DataFrame:
+    """The answers to the questions of all ``rows`` (``ask``), by ``ranges(buckets)``. The table ``name`` is written on the way where there are two levels."""
+    questions = ask(rows, make, bits, ranges(buckets), *columns)
+    return answer(questions) if buckets <= DIRECT else two_levels(stages, name, questions, bits, ranges(buckets), rows.count())
+
+
 def bits_told(keys: np.ndarray, answers: dict[int, bytes], bits: int, buckets: int) -> np.ndarray:
     """The bits that all buckets told about a shard's keys."""
     cuts = np.searchsorted(keys, edges(bits, buckets))

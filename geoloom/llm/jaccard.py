@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import Stages
-from .exchange import U64, Spans, answer, ask, bits_told, counts_told, from_blob, mix, pack, sized, text_bytes, with_answers, words_in
+from .exchange import U64, Spans, bits_told, counts_told, from_blob, mix, pack, ranges, sized, text_bytes, told_by, with_answers, words_in
 from .links import components
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -84,6 +84,7 @@ def class_rows(stages: Stages, shards: DataFrame, text: str, n: int, percent: in
     (a hash of the text), ``print`` (of its set; null: no shingles), ``class`` (the least print of its class) and ``least`` (id of the class)."""
     total = shards.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     bits, buckets = sized(total, 6.0)
+    parts = ranges(buckets)
     shift = U64(64 - bits)
 
     # Which shingles occur in one text only? A text with more than a fifth of such is linked with nothing.
@@ -95,7 +96,7 @@ def class_rows(stages: Stages, shards: DataFrame, text: str, n: int, percent: in
         sets = shingle_sets(batch.column(text), n)
         marks = [xxhash.xxh3_64_intdigest(x.as_py() or "") - (1 << 63) for x in batch.column(text)]
         keys, counts = shard_keys(sets, shift)
-        several = bits_told(keys, told, bits, buckets) | (counts > 1)
+        several = bits_told(keys, told, bits, parts) | (counts > 1)
         here: set[bytes] = set()
         prints, kept = [], []
         for s in sets:
@@ -108,8 +109,8 @@ def class_rows(stages: Stages, shards: DataFrame, text: str, n: int, percent: in
         columns = [pa.array([shard] * len(sets), pa.int64()), pa.array(range(len(sets)), pa.int64()), batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.int64()), pa.array(prints, pa.binary()), pa.array(kept, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, ["shard", "row", "id", "n", "mark", "print", "hashes"])
 
-    questions = ask(shards, keys_in_texts, bits, buckets, "blob")
-    told = with_answers(shards, answer(questions), tell_texts, "shard long, row long, id long, n long, mark long, print binary, hashes binary", "blob")
+    answers = told_by(stages, "asked-texts", shards, keys_in_texts, bits, buckets, "blob")
+    told = with_answers(shards, answers, tell_texts, "shard long, row long, id long, n long, mark long, print binary, hashes binary", "blob")
     told = stages.keep(told, "told")
     texts = told.drop("hashes")
 
@@ -118,6 +119,7 @@ def class_rows(stages: Stages, shards: DataFrame, text: str, n: int, percent: in
     sets = stages.keep(pack(left, "hashes"), "sets")
     hashed = sets.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     _, buckets2 = sized(hashed, 8.0)
+    parts2 = ranges(buckets2)
 
     def arrays(batch):
         return [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("hashes")]
@@ -129,7 +131,7 @@ def class_rows(stages: Stages, shards: DataFrame, text: str, n: int, percent: in
         batch = from_blob(blobs[0])
         mine = arrays(batch)
         keys, _ = shard_keys(mine, U64(0))
-        counts = counts_told(keys, told, 64, buckets2)
+        counts = counts_told(keys, told, 64, parts2)
         out = []
         for i, s in enumerate(mine):
             often = counts[np.searchsorted(keys, s)]
@@ -151,9 +153,9 @@ def class_rows(stages: Stages, shards: DataFrame, text: str, n: int, percent: in
                 counts = [len(x) for x in prefix]
                 yield pa.RecordBatch.from_arrays([np.repeat(sets, counts), np.repeat(sizes, counts), np.concatenate(prefix), np.concatenate(places)], ["set", "n", "shingle", "place"])
 
-    found = with_answers(sets, answer(ask(sets, keys_in_sets, 64, buckets2, "blob")), tell_sets, "set long, print binary, n long, hashes binary, prefix binary, places binary", "blob")
+    found = with_answers(sets, told_by(stages, "asked-sets", sets, keys_in_sets, 64, buckets2, "blob"), tell_sets, "set long, print binary, n long, hashes binary, prefix binary, places binary", "blob")
     found = stages.keep(found, "found")
-    stages.drop("sets")
+    stages.drop("sets", "asked-texts", "asked-sets")
     members = found.select("set", "n", "hashes")
     index = found.select("set", "n", "prefix", "places").mapInArrow(entries_of, "set long, n long, shingle long, place int")
     index = stages.keep(index, "index")

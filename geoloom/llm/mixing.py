@@ -91,11 +91,12 @@ def plan_table(spark: SparkSession, given: dict[str, array], run: int) -> DataFr
     return spark.createDataFrame(pa.table({"__s": pa.array(sources, pa.string()), "__run": pa.array(runs, pa.int64()), "__at": at}))
 
 
-def mix_sources(df: DataFrame, targets: dict[str, float] | None = None, *, source: str = "source", block_rows: int = 64, seed: int = 29, part_rows: int = 20_000, run_blocks: int = 64) -> DataFrame:
+def mix_sources(df: DataFrame, targets: dict[str, float] | None = None, *, source: str = "source", block_rows: int = 64, seed: int = 29, part_rows: int = 20_000, run_blocks: int = 64, most_blocks: int = 1_000_000) -> DataFrame:
     """``df`` with ``block`` (of its source), ``slot`` (of the block in the mix, gapless) and ``place`` (in the block).
 
     ``targets``: a weight for each source name (those not named, or named with 0, weigh 1 in a million of the total); without it
-    a source weighs the square root of its rows. The driver holds 8 bytes a block and takes some microseconds for it.
+    a source weighs the square root of its rows. The driver holds 8 bytes a block and takes some microseconds for it;
+    a block has more rows than ``block_rows`` where there would be over ``most_blocks`` blocks.
     """
     spark, stages = df.sparkSession, Stages(df.sparkSession, "mixing")
     columns = [c for c in df.columns if not c.startswith("__") and c not in ("block", "slot", "place")]
@@ -103,6 +104,7 @@ def mix_sources(df: DataFrame, targets: dict[str, float] | None = None, *, sourc
     name = F.when(F.col(source).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(source).cast("string")))
     keyed = df.select(*columns, name.alias("__s"), F.xxhash64(F.lit(seed), *content).alias("__h"))
     counts = {r[0]: r[1] for r in keyed.groupBy("__s").count().collect()}
+    block_rows = max(block_rows, -(-sum(counts.values()) // most_blocks))
     parts = max(64, -(-max(counts.values(), default=0) // part_rows))
     rows = keyed.withColumn("__part", F.pmod(F.xxhash64(F.lit(seed + 1), "__h"), F.lit(parts)))
     before = Window.partitionBy("__s").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import Stages
-from .exchange import CACHED, U64, Spans, answer, ask, bits_told, counts_told, from_blob, mix, pack, sized, squeeze, text_bytes, to_blob, unsqueeze, with_answers, words_in
+from .exchange import CACHED, U64, Spans, bits_told, counts_told, from_blob, mix, pack, ranges, sized, squeeze, text_bytes, to_blob, told_by, unsqueeze, with_answers, words_in
 
 LEAST = 400
 #: Words of a passage that may stand in one row only; every passage of over 50 words holds one of so many.
@@ -274,6 +274,7 @@ def dedupe(docs: DataFrame, *, text: str = "text", least: int = LEAST, words: in
     shards = stages.keep(pack(docs, text), "shards")
     total = shards.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     bits, buckets = sized(total, WINDOW / 2)
+    parts = ranges(buckets)
     shift = U64(64 - bits)
 
     def done(batch, removed, runs, passages, raw):
@@ -292,7 +293,7 @@ def dedupe(docs: DataFrame, *, text: str = "text", least: int = LEAST, words: in
         batch = from_blob(blobs[0])
         p = parse(batch, text)
         symbols = p.symbols()
-        shared = shared_blocks(symbols, told, bits, buckets)
+        shared = shared_blocks(symbols, told, bits, parts)
         rows = candidate_rows(p, shared, least)
         if words:
             open_, of = open_windows(p, shared, words)
@@ -317,10 +318,10 @@ def dedupe(docs: DataFrame, *, text: str = "text", least: int = LEAST, words: in
                 out.append(squeeze(np.packbits(open_windows(q, mask, words)[0])))
         yield pa.RecordBatch.from_arrays([pa.array([shard] * len(kinds), pa.int64()), pa.array(kinds, pa.string()), pa.array(out, pa.binary())], ["shard", "kind", "blob"])
 
-    questions = ask(shards, first_keys, bits, buckets, "blob")
-    first = with_answers(shards, answer(questions), first_told, "shard long, kind string, blob binary", "blob")
+    told = told_by(stages, "asked", shards, first_keys, bits, buckets, "blob")
+    first = with_answers(shards, told, first_told, "shard long, kind string, blob binary", "blob")
     kept = stages.keep(first, "first", by="kind")
-    stages.drop("shards")
+    stages.drop("shards", "asked")
     clean, texts, state, windows_open = (kept.where(F.col("kind") == k).select("shard", "blob") for k in ("done", "text", "state", "windows"))
 
     # Rounds: blocks of 2, 4, 8 ... phrases.
@@ -338,16 +339,15 @@ def dedupe(docs: DataFrame, *, text: str = "text", least: int = LEAST, words: in
             symbols, sizes, masks, bounds = from_state(blobs[0])
             blocks = levels(symbols, masks)[-1]
             longer = stepped(blocks, h)
-            mask = shared_blocks(longer, told, bits, buckets)
+            mask = shared_blocks(longer, told, bits, parts)
             at = np.concatenate(([0], np.cumsum(sizes)))
             spans = at[np.minimum(np.arange(len(sizes)) + 4 * h, len(sizes))] - at[:-1]
             more = int((mask & (spans <= least + 2 * WINDOW)).sum())
             yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([to_state(symbols, sizes, [*masks, mask], bounds)], pa.binary()), pa.array([more])], ["shard", "blob", "more"])
 
-        told = answer(ask(state, round_keys, bits, buckets, "blob"))
+        told = told_by(stages, f"asked-{at}", state, round_keys, bits, buckets, "blob")
         state = stages.keep(with_answers(state, told, round_told, "shard long, blob binary, more long", "blob"), f"round-{at}")
-        if at:
-            stages.drop(f"round-{at - 1}")
+        stages.drop(f"asked-{at}", *([f"round-{at - 1}"] if at else []))
         more = state.agg(F.coalesce(F.sum("more"), F.lit(0))).first()[0]
         h, at = 2 * h, at + 1
         if not more:
@@ -374,15 +374,15 @@ def dedupe(docs: DataFrame, *, text: str = "text", least: int = LEAST, words: in
     def around_told(shard, blobs, told):
         first, count, _, around, phrase, total = windows(blobs[0])
         keys, counts, _ = whole_keys(runs_of(around, phrase), U64(0))
-        several = np.append(bits_told(keys, told, 64, buckets) | (counts > 1), False)
+        several = np.append(bits_told(keys, told, 64, parts) | (counts > 1), False)
         sure = np.zeros(total, bool)
         found = several[np.searchsorted(keys, around)] & (around != 0)
         sure[places_of(first[found], count[found])] = True
         yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array(blobs, pa.binary()), pa.array([squeeze(np.packbits(sure))], pa.binary())], ["shard", "state", "sure"])
 
-    told = answer(ask(state, around_keys, 64, buckets, "blob"))
+    told = told_by(stages, "asked-around", state, around_keys, 64, buckets, "blob")
     sure = stages.keep(with_answers(state, told, around_told, "shard long, state binary, sure binary", "blob"), "sure")
-    stages.drop(f"round-{at - 1}")
+    stages.drop(f"round-{at - 1}", "asked-around")
 
     # Open strings are compared with each other and with the sure ones that have the inner phrases of an open one.
     def inner_names(state_blob, sure_blob):
@@ -401,14 +401,14 @@ def dedupe(docs: DataFrame, *, text: str = "text", least: int = LEAST, words: in
 
     def inner_told(shard, blobs, told):
         first, count, keys, place, certain, _, sure = inner_names(*blobs)
-        open_ = ~certain | (counts_told(keys, told, 64, buckets)[place] > 0) if len(first) else certain
+        open_ = ~certain | (counts_told(keys, told, 64, parts)[place] > 0) if len(first) else certain
         flags = np.stack([sure, np.zeros(len(sure), bool)])
         flags[1, places_of(first[open_], count[open_])] = True
         yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([squeeze(np.packbits(flags))], pa.binary())], ["shard", "blob"])
 
-    told = answer(ask(sure, inner_keys, 64, buckets, "state", "sure"))
+    told = told_by(stages, "asked-inner", sure, inner_keys, 64, buckets, "state", "sure")
     flags = stages.keep(with_answers(sure, told, inner_told, "shard long, blob binary", "state", "sure"), "flags")
-    stages.drop("sure")
+    stages.drop("sure", "asked-inner")
     both = texts.select("shard", F.col("blob").alias("texts")).join(flags.select("shard", F.col("blob").alias("flags")), "shard")
     both = both.join(windows_open.select("shard", F.col("blob").alias("windows")), "shard", "left")
     both = stages.keep(both, "both")
@@ -441,8 +441,8 @@ def dedupe(docs: DataFrame, *, text: str = "text", least: int = LEAST, words: in
         data, bounds, sure, s, names, (a, b, row), named = strings(*blobs)
         keys, counts = np.unique(np.concatenate((names, named)), return_counts=True)
         if len(s):
-            s = s[(bits_told(keys, told, 64, buckets) | (counts > 1))[np.searchsorted(keys, names)]]
-        found = in_several_rows(named, row, told, buckets, keys)
+            s = s[(bits_told(keys, told, 64, parts) | (counts > 1))[np.searchsorted(keys, names)]]
+        found = in_several_rows(named, row, told, parts, keys)
         a, b = covered(a[found], b[found], bounds)
         starts = np.union1d(sure, s)
         begin, end = covered(starts, starts + least, bounds)
@@ -457,21 +457,21 @@ def dedupe(docs: DataFrame, *, text: str = "text", least: int = LEAST, words: in
         cut, seen = np.searchsorted(begin, bounds), np.searchsorted(a, bounds)
         removed, runs, passages, left = [], [], [], []
         for i in range(batch.num_rows):
-            at, parts = int(bounds[i]), []
+            at, pieces = int(bounds[i]), []
             spans = list(zip(begin[cut[i] : cut[i + 1]].tolist(), end[cut[i] : cut[i + 1]].tolist(), strict=True))
             for x, y in spans:
-                parts.append(data[at:x].tobytes())
+                pieces.append(data[at:x].tobytes())
                 at = y
-            parts.append(data[at : bounds[i + 1]].tobytes())
+            pieces.append(data[at : bounds[i + 1]].tobytes())
             removed.append(sum(y - x for x, y in spans))
             runs.append(len(spans))
             mine = slice(seen[i], seen[i + 1])
             passages.append(int((n_words[b[mine]] - n_words[a[mine]]).sum()))
-            left.append(b"".join(parts))
+            left.append(b"".join(pieces))
         yield done(batch, removed, runs, passages, left)
 
     columns = ("texts", "flags", "windows")
-    told = answer(ask(both, open_keys, 64, buckets, *columns))
+    told = told_by(stages, "asked-open", both, open_keys, 64, buckets, *columns)
     settled = with_answers(both, told, open_told, result, *columns)
 
     def unpack(batches):

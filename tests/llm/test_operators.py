@@ -15,7 +15,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from geoloom.llm import ann, bpe, jaccard, langid, licenses, links, media, mixing, repeats, sharding, warc
+from geoloom.llm import ann, bpe, exchange, jaccard, langid, licenses, links, media, mixing, repeats, sharding, warc
 from geoloom.llm.common import Stages
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, slot string, block int, score string, kept int, lang_pred int, __h string"
@@ -262,6 +262,20 @@ def test_repeats(docs, none, rows, least):
     assert repeats.dedupe(none).count() == 0
 
 
+def test_two_level_exchange(spark, docs, none, rows, monkeypatch):
+    """Beyond DIRECT buckets answers come through groups of shards; the results are the same."""
+    def shapes(df):
+        return Counter((r["doc_id"], r["n_removed"], r["n_passage_words"], bytes(r["kept"])) for r in df.collect())
+
+    df = docs.repartition(6)
+    one, classes = shapes(repeats.dedupe(df, words=50)), Counter(tuple(r) for r in jaccard.classes(df).collect())
+    monkeypatch.setattr(exchange, "DIRECT", 3)
+    assert exchange.ranges(12) == 4
+    assert shapes(repeats.dedupe(df, words=50)) == one
+    assert Counter(tuple(r) for r in jaccard.classes(df).collect()) == classes
+    assert repeats.dedupe(none, words=50).count() == 0
+
+
 def test_passages(spark, none):
     rng = random.Random(8)
     vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7))) for _ in range(500)]
@@ -365,7 +379,8 @@ def test_language(spark, sf, docs, none):
     assert langid.train(none) is None and langid.identify(docs, None).where("lang_pred <> 'und'").count() == 0
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("leaf_most", [4000, 60])
+def test_neighbours(spark, leaf_most):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(20, 16))
     x = centres[rng.integers(0, 20, 3000)] + 0.4 * rng.normal(size=(3000, 16))
@@ -374,7 +389,7 @@ def test_neighbours(spark):
     odd = [(5000, None, 0), (5100, [0.0] * 16, 0), (5200, [float("nan")] * 16, 0), (5300, [1.0, None], 0), (None, [1.0] * 16, 0), (5400, [1.0] * 15, 0)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, score int")
     got = defaultdict(list)
-    for r in ann.search(df, "id % 100 = 0", fit_rows=1500, leaf_rows=40, block_rows=500).orderBy("query_id", "rank").collect():
+    for r in ann.search(df, "id % 100 = 0", fit_rows=1500, leaf_rows=40 if leaf_most > 3000 else 400, block_rows=500, leaf_most=leaf_most).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["score"], r["vec_id"]))
     hits = 0
     assert len(got) == 30
