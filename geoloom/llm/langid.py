@@ -5,7 +5,8 @@ Discounted probabilities are interpolated with the lower order's continuation co
 sorted arrays of hashed n-grams, one row of log-probabilities (a column a language) for each; a text is
 scored by binary search of its n-grams. The language with the least cross-entropy a character wins; a
 text is rejected when it has no letters or when its cross-entropy is beyond what the calibration half of
-the sample gives texts of its length.
+the sample gives: cut into pieces of several lengths, all but ``FALSE`` of a language's own pieces of a text's length have
+less, and a text of another kind may have ``SLACK`` more.
 
 Defined results: a null or empty text and one without letters is ``und`` with score 0 and rejected; ties go to
 the alphabetically first language; repeated rows are all kept; a table without labelled rows labels
@@ -24,13 +25,15 @@ from pyspark.sql import functions as F
 from .common import map_arrow, pieces
 
 ORDER = 4
-BITS = 7
-#: Letters with ids of their own; the rarer share one.
+BITS = 15
+#: Letters with ids of their own, enough for the large scripts; the rarer share one.
 LETTERS = (1 << BITS) - 3
 #: Sampled texts a language, at most about this many (half fit, half calibrate).
 SAMPLE = 400
-#: How far a text's cross-entropy may exceed a language's mean: by this share of it, and by so many deviations of texts of its length.
-SLACK, FAR = 0.3, 12.0
+#: The share of a language's own texts that calibration lets be rejected, and how much more cross-entropy a text may have than they.
+FALSE, SLACK = 0.001, 0.3
+#: Lengths (characters) of the pieces that calibration scores, and pieces a length and language at most.
+LENGTHS, PIECES = (8, 16, 32, 64, 128, 256, 512, 1024, 2048), 300
 
 
 def mixed(codes: np.ndarray, order: int) -> np.ndarray:
@@ -46,10 +49,11 @@ class Alphabet:
     """Letter ids; everything that is no letter is 0, and runs of it count once."""
 
     def __init__(self, letters: str):
-        self.table = np.zeros(0x110000, np.uint8)
+        self.table, self.size = np.zeros(0x110000, np.uint16), len(letters) + 2
+        other = len(letters) + 1
         points = np.arange(0x110000)
         alpha = np.fromiter((chr(c).isalpha() for c in points), bool, 0x110000)
-        self.table[alpha] = LETTERS + 1
+        self.table[alpha] = other
         for i, c in enumerate(letters, 1):
             self.table[ord(c)] = i
             if len(c.upper()) == 1:
@@ -86,7 +90,7 @@ class Model:
         mask = [(1 << BITS * n) - 1 for n in range(order + 1)]
         self.tables: list[tuple[np.ndarray, np.ndarray]] = []
         self.weights: list[tuple[np.ndarray, np.ndarray]] = []
-        floor = 1.0 / (1 << BITS)
+        floor = 1.0 / alphabet.size
         probs: dict[int, np.ndarray] = {}
         for n in range(1, order + 1):
             all_codes = np.unique(np.concatenate([f[n][0] for f in fitted]))
@@ -128,7 +132,7 @@ class Model:
     def lookup(self, codes: np.ndarray, n: int) -> np.ndarray:
         """Log-probabilities (a column a language) of n-grams; unseen ones take the context's weight times the lower order's."""
         if n == 0:
-            return np.full((len(codes), len(self.languages)), -BITS * math.log(2), np.float32)
+            return np.full((len(codes), len(self.languages)), -math.log(self.alphabet.size), np.float32)
         at, seen = self.find(self.tables[n - 1], mixed(codes, n))
         out = self.tables[n - 1][1][at]
         if not seen.all():
@@ -159,17 +163,18 @@ class Model:
         return -total / sizes[:, None], sizes, letters
 
     def calibrate(self, samples: dict[str, list[str]]) -> None:
-        """Mean and deviation a character of each language's own cross-entropy, from texts not fitted on."""
-        self.normal = {}
+        """For each language and length the cross-entropy that all but ``FALSE`` of its own pieces stay under, from texts not fitted on."""
+        self.limits = np.full((len(self.languages), len(LENGTHS)), math.log(self.alphabet.size))
         for j, lang in enumerate(self.languages):
-            texts = [t for t in samples.get(lang, []) if t]
-            if not texts:
-                self.normal[lang] = (BITS * math.log(2), 1.0)
-                continue
-            entropies, sizes, _ = self.cross_entropies(texts)
-            mean = float(np.average(entropies[:, j], weights=sizes))
-            spread = (entropies[:, j] - mean) * np.sqrt(sizes)
-            self.normal[lang] = (mean, max(1.0, float(np.sqrt(np.mean(spread**2)))))
+            texts = [t for t in samples.get(lang, []) if any(c.isalpha() for c in t)]
+            for i, n in enumerate(LENGTHS):
+                cut = [t[k : k + n] for t in texts for k in range(0, len(t) - n + 1, n)]
+                cut = cut[:: max(1, -(-len(cut) // PIECES))]  # spread over all texts
+                cut = [t for t in cut if any(c.isalpha() for c in t)]
+                if cut:
+                    self.limits[j, i] = np.quantile(self.cross_entropies(cut)[0][:, j], 1 - FALSE)
+                elif i and texts:
+                    self.limits[j, i] = self.limits[j, i - 1]
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score (0 to 1) and rejection of each text."""
@@ -180,8 +185,9 @@ class Model:
         sharp = np.minimum(sizes, 100)[:, None]
         score = 1 / np.exp((entropies.min(axis=1, keepdims=True) - entropies) * sharp).sum(axis=1)
         names = [self.languages[j] for j in best]
-        normal = np.array([self.normal[x] for x in names])
-        limit = normal[:, 0] * (1 + SLACK) + FAR * normal[:, 1] / np.sqrt(sizes)
+        size = np.log(np.maximum(sizes - 1, 1))
+        each = np.stack([np.interp(size, np.log(LENGTHS), row) for row in self.limits], axis=1)
+        limit = each[np.arange(len(best)), best] * (1 + SLACK)
         none = letters == 0
         return ["und" if z else x for x, z in zip(names, none, strict=True)], np.where(none, 0.0, score), none | (entropies.min(axis=1) > limit)
 

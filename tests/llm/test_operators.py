@@ -368,13 +368,18 @@ def test_language(spark, sf, docs, none):
     model = langid.train(table.where(~langid.held_out()))
     got = langid.identify(table, model).where(langid.held_out()).select("lang", "lang_pred", "rejected").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.98 * len(got) and sum(r["rejected"] for r in got) <= 0.01 * len(got)
+    assert sum(r["rejected"] for r in got) <= 0.01 * len(got)
+    strange = [
+        "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita e quanto a dir qual era", "W tym roku zima przyszła bardzo wcześnie i wszystkie drogi były zasypane śniegiem aż do końca miesiąca", "aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlIHNpeHR5IGZvdXIgdGV4dCB3aXRob3V0IG1lYW5pbmcgYXQgYWxsIGhlcmU",
+    ]
+    assert all(model.predict(strange)[2])
     odd = langid.identify(docs, model).select("text", "lang_pred", "score", "rejected").collect()
     for r in odd:
         letters = any(c.isalpha() for c in r["text"] or "")
         assert (r["lang_pred"] == "und") == (not letters) and 0 <= r["score"] <= 1 and (letters or r["rejected"])
     # probabilities of a language's next letters sum to one
     context = np.int64(3) << langid.BITS | 4
-    total = np.exp(model.lookup(context << langid.BITS | np.arange(1 << langid.BITS), 3)).sum(axis=0)
+    total = np.exp(model.lookup(context << langid.BITS | np.arange(model.alphabet.size), 3)).sum(axis=0)
     assert np.allclose(total, 1, atol=0.02)
     assert langid.train(none) is None and langid.identify(docs, None).where("lang_pred <> 'und'").count() == 0
 
