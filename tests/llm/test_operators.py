@@ -407,6 +407,68 @@ def test_neighbours(spark, leaf_most):
     assert ann.search(df.limit(0), "id % 100 = 0").count() == 0
 
 
+def near_groups(rows):
+    """Lists of rows linked by shingles; rows without shingles stand alone."""
+    sets, parent = [shingles(r[1]) for r in rows], list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            n = len(a & sets[j])
+            if a and sets[j] and 100 * n >= 80 * (len(a) + len(sets[j]) - n):
+                parent[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i, r in enumerate(rows):
+        groups[find(i) if sets[i] else ("alone", i)].append(r)
+    return list(groups.values())
+
+
+def without_passages(rows, least=400, words=50):
+    """Texts without the bytes that repeated strings and passages cover; rows of which nothing is left go."""
+    raw = [(r[1] or "").encode() for r in rows]
+    count = Counter(b[k : k + least] for b in raw for k in range(len(b) - least + 1))
+    windows, holders = [], defaultdict(set)
+    for i, b in enumerate(raw):
+        at = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+        windows.append([(at[k][0], at[k + words - 1][1]) for k in range(len(at) - words + 1)])
+        for x, y in windows[-1]:
+            holders[b[x:y]].add(i)
+    out = []
+    for r, b, mine in zip(rows, raw, windows, strict=True):
+        cover = np.zeros(len(b), bool)
+        for x, y in [(k, k + least) for k in range(len(b) - least + 1) if count[b[k : k + least]] > 1] + [w for w in mine if len(holders[b[w[0] : w[1]]]) > 1]:
+            cover[x:y] = True
+        left = np.frombuffer(b, np.uint8)[~cover].tobytes().decode("utf-8", "ignore")
+        if not cover.any() or left:
+            out.append((r[0], left if cover.any() else r[1], *r[2:]))
+    return out
+
+
+def test_pipeline_against_brute_force(spark, rows, reference):
+    import corpus_pipeline
+
+    root = Stages(spark, "t").root
+    more = [(900 + k, f"{rows[k][1]} {' '.join(f'tail{k}x{i}' for i in range(40))}", "en", "s1", 5, *[None] * 7) for k in (3, 4)]
+    docs = spark.createDataFrame([*rows, *more], SCHEMA).repartition(3)
+    docs.write.parquet(f"{root}/documents.parquet")
+    kept = [tuple(r) for r in langid.recognised(spark.read.parquet(f"{root}/documents.parquet")).collect()]
+    assert not Counter(kept) - Counter([*rows, *more]) and all(any(c.isalpha() for c in r[1]) for r in kept)
+    # of equal ids and texts any of the rows may stay
+    first = [min(g, key=lambda r: (r[0] is None, r[0])) for g in near_groups(kept)]
+    left = without_passages(first)
+    want = Counter((r[0], hashlib.sha256(np.array(reference.encode_ordinary(r[1] or ""), "<u4").tobytes()).hexdigest()) for r in left)
+    got = corpus_pipeline.run(spark, root).collect()
+    assert Counter((r["doc_id"], r["ids_sha256"]) for r in got) == want
+    assert sorted(r["rank"] for r in got) == list(range(len(left)))
+    none = Stages(spark, "t").root
+    docs.limit(0).write.parquet(f"{none}/documents.parquet")
+    assert corpus_pipeline.run(spark, none).count() == 0
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
