@@ -1,8 +1,13 @@
 """A corpus pipeline over ``documents``.
 
-Language ID drops what it rejects; of near copies one stays; repeated passages are cut out; the sources
-are mixed in Pfair order (the order of the rows in the written files); the texts are encoded, each with its
-``rank``, the place that the mix gave it. Equal rows may exchange their ranks.
+Language ID drops what it rejects; of near copies one row stays; passages are cut out that repeat, be it strings of 400
+bytes standing anywhere else or passages of 50 words standing in another document too (each copy of them goes, as in the operator);
+the sources are mixed in Pfair order (the order of the rows in the written files); the texts are encoded, each with its ``rank``,
+the place that the mix gave it. Equal rows may exchange their ranks.
+
+Odd rows: a null, empty or letterless text is rejected by the first stage; a row without id is the last of its class to stay; a
+repeated id is two documents; a null source is a source of its own; repeated rows are copies, of which one stays; a document of
+which nothing is left after the cut goes; an empty table gives an empty result; extra columns travel as far as the last stage.
 """
 
 from __future__ import annotations
