@@ -6,7 +6,7 @@ asked for at once, by walking, by bicycle, or by walking and riding.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from datetime import date, datetime, timedelta
 from functools import reduce
 
@@ -77,6 +77,16 @@ class City:
     schools: DataFrame | None = None
     accidents: DataFrame | None = None
 
+    def prepared(self, path: str) -> PreparedCity:
+        """This city with what every request needs written to ``path`` once: networks, attachments of services and stops, origins."""
+        from .sources import caches
+
+        made = {"access": self.access(), "origins": self.origins()} | ({"stop_access": self.stop_access()} if self.timetable and "walk" in self.networks else {})
+        for m in self.networks:
+            made |= {f"nodes_{m}": self.nodes(m), f"edges_{m}": self.edges(m)}
+        caches.write_cache(self.spark, path, made)
+        return PreparedCity(**{f.name: getattr(self, f.name) for f in fields(City)}, tables=caches.read_cache(self.spark, path, ("origins",))[0])
+
     # Places and networks
 
     @property
@@ -470,6 +480,29 @@ class City:
         return self.schools.join(found, "id", "left").withColumn("accidents", F.coalesce("accidents", F.lit(0))).orderBy(F.desc("accidents"), "id")
 
 
+@dataclass(frozen=True)
+class PreparedCity(City):
+    """A city whose networks, attachments and origins were computed once and are read from storage."""
+
+    tables: dict[str, DataFrame] | None = None
+
+    def nodes(self, mode: str) -> DataFrame:
+        return self.tables[f"nodes_{mode}"]
+
+    def edges(self, mode: str) -> DataFrame:
+        return self.tables[f"edges_{mode}"]
+
+    def access(self) -> DataFrame:
+        return self.tables["access"]
+
+    def stop_access(self) -> DataFrame:
+        self._timetable()
+        return self.tables["stop_access"]
+
+    def origins(self) -> DataFrame:
+        return self.tables["origins"]
+
+
 QUESTIONS = ("poorest_access", "good_schools_poor_healthcare", "adjacent_contrasts", "category_inequality", "mode_gain", "children_underserved")
 
 

@@ -49,15 +49,20 @@ def shortest_paths(seeds: DataFrame, edges: DataFrame, cutoff: float | None = No
 
     ``pred`` is the node before on a cheapest path (null at a seed). Costs over ``cutoff`` are left out.
     """
-    if method == "auto":
-        method = "grouped" if edges.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES else "relational"
-    return (_grouped if method == "grouped" else _relational)(seeds, edges, cutoff)
+    if method == "relational":
+        return _relational(seeds, edges, cutoff)
+    found = edges.select("u", "v", "length_m").limit(BROADCAST_EDGES + 1).collect()
+    if len(found) <= BROADCAST_EDGES:
+        return _grouped(seeds, found, cutoff)
+    if method == "grouped":
+        raise ValueError(f"a network of over {BROADCAST_EDGES} edges is not broadcast")
+    return _relational(seeds, edges, cutoff)
 
 
-def _grouped(seeds: DataFrame, edges: DataFrame, cutoff: float | None) -> DataFrame:
+def _grouped(seeds: DataFrame, edges: list, cutoff: float | None) -> DataFrame:
     out: dict = {}
-    for r in edges.select("u", "v", "length_m").collect():  # at most BROADCAST_EDGES rows
-        out.setdefault(r[0], []).append((r[1], r[2]))
+    for u, v, length in edges:  # at most BROADCAST_EDGES
+        out.setdefault(u, []).append((v, length))
     net = seeds.sparkSession.sparkContext.broadcast(out)
     schema = f"origin {seeds.schema['origin'].dataType.simpleString()}, node {seeds.schema['node'].dataType.simpleString()}, cost double, pred {seeds.schema['node'].dataType.simpleString()}"
 

@@ -9,7 +9,7 @@ from ..functions import exprs as X
 from ..graph import table, trade_graph, upsert
 from ..operators import routing, spatial, transit
 from ..provenance import fields_of, relation_provenance
-from ..sources import caches, fixtures, places, readers, sinks
+from ..sources import caches, fixtures, places, readers, sinks, town
 from ..trace import computations, health, metadata, overall, question_fields, states, traced
 from .catalogue import _nations, _network, _origins, _point, _points, _sp, flat, query
 from .compile import execute
@@ -552,3 +552,25 @@ def detail_of_the_nearest(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("origin"), F.concat(F.lit("cat"), k % 8).alias("category"), k.alias("service"), (k * 37 % 60).alias("minutes"))
     journeys = rows.select("origin", "service", F.array(F.lit("walk")).alias("steps"))
     return transit.with_detail(rows, journeys, most=3).groupBy("origin", "category").agg(F.count("steps").alias("detailed"), F.count("*").alias("n"))
+
+
+#: The prepared city of each application.
+_PREPARED: dict = {}
+
+
+@query()
+def standing_question_of_a_city(spark, sf_dir):
+    """A standing question over all areas and three modes of a prepared city of the published size; its rows are fixed."""
+    name = spark.sparkContext.applicationId
+    if name not in _PREPARED:
+        _PREPARED[name] = fixtures.large_city(spark).prepared(caches.shared_folder(spark, "city"))
+    return _PREPARED[name].ask("mode_gain", minutes=15, limit=100, departure="2026-08-20T08:00")
+
+
+@query("SELECT 0::BIGINT AS differ, 168::BIGINT AS n".replace("168", "(SELECT count(*) FROM nation) * 8").replace("(SELECT count(*) FROM nation) * 8::BIGINT", "((SELECT count(*) FROM nation) * 8)::BIGINT"))
+def prepared_town_agrees(spark, sf_dir):
+    """Profiles of a prepared city equal those of the city itself."""
+    c = town.town(spark, sf_dir)
+    p = c.prepared(caches.shared_folder(spark, "town"))
+    one, two = (x.profile(x.area_points(), "bike", 10).select("origin", "category", "n", "nearest_minutes") for x in (c, p))
+    return one.exceptAll(two).agg(F.count("*").alias("differ")).crossJoin(two.agg(F.count("*").alias("n")))

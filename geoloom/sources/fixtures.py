@@ -138,3 +138,48 @@ def page_of(offset: int, limit: int, order_by: str | None = None) -> list[dict]:
     if order_by:
         raise BadRequest(order_by)
     return [{"k": k, "name": f"record {k}"} for k in range(offset, min(offset + limit, 253))]
+
+
+# The size of a published city (walking nodes, cycling nodes, areas, services, stops, lines, trips a line and day).
+SIZES = {"walk": 119, "bike": 77}
+LARGE_AREAS, LARGE_SERVICES, LARGE_STOPS, LARGE_LINES, LARGE_TRIPS = (7, 3), 1308, 283, 200, 100
+
+
+def large_city(spark: SparkSession):
+    """A city of the published size: 14,161 and 5,929 street nodes, 21 areas, 1,308 services, 20,000 trips of 12 calls a day."""
+    from ..catalog import CATEGORY_LABELS
+    from ..city import City
+
+    wide, high = 0.14, 0.105  # degrees
+    k = F.col("id")
+
+    def network(mode: str) -> tuple[DataFrame, DataFrame]:
+        n = SIZES[mode]
+        name = lambda x: F.concat(F.lit(f"{mode}:"), x)
+        at = spark.range(n * n)
+        nodes = at.select(name(k).alias("node"), (F.lit(WEST) + k % n * (wide / (n - 1))).alias("lon"), (F.lit(SOUTH) + F.floor(k / n) * (high / (n - 1))).alias("lat"))
+        across, up = at.where(k % n < n - 1).select(k.alias("u"), (k + 1).alias("v")), at.where(k < n * (n - 1)).select(k.alias("u"), (k + n).alias("v"))
+        return nodes, across.unionByName(up).select(name(F.col("u")).alias("u"), name(F.col("v")).alias("v"), F.lit(None).cast("double").alias("length_m"))
+
+    def spread(x, a: int, b: int):
+        return (F.lit(WEST) + x * a % 9973 / 9973 * wide), (F.lit(SOUTH) + x * b % 9967 / 9967 * high)
+
+    nx, ny = LARGE_AREAS
+    corner = lambda i, j: {"x": WEST + i * wide / nx, "y": SOUTH + j * high / ny}
+    ring = lambda i, j: [corner(i, j), corner(i + 1, j), corner(i + 1, j + 1), corner(i, j + 1), corner(i, j)]
+    areas_ = spark.createDataFrame([(f"area:{i}-{j}", i * ny + j, f"Area {i}-{j}", f"{i}-{j}", ring(i, j)) for i in range(nx) for j in range(ny)], "area string, ord int, name string, wov_id string, ring array<struct<x:double,y:double>>")
+    lon, lat = spread(k + 1, 5741, 3301)
+    category = F.element_at(F.array(*map(F.lit, CATEGORY_LABELS)), (k % 8 + 1).cast("int"))
+    services = spark.range(LARGE_SERVICES).select(F.concat(F.lit("service:"), k).alias("id"), k.alias("ord"), category.alias("category"), F.concat(F.lit("Place "), k).alias("name"), lon.alias("lon"), lat.alias("lat"), F.lit("made up").alias("source"))
+    lon, lat = spread(k + 1, 7919, 4099)
+    stops = spark.range(LARGE_STOPS).select(F.concat(F.lit("stop"), k).alias("stop"), F.concat(F.lit("Stop "), k).alias("name"), lat.alias("lat"), lon.alias("lon"))
+    line, run = F.floor(k / LARGE_TRIPS), k % LARGE_TRIPS
+    trips = spark.range(LARGE_LINES * LARGE_TRIPS).select(F.concat_ws("-", F.lit("t"), line, run).alias("trip"), F.concat(F.lit("l"), line).alias("route"), F.lit("daily").alias("service"))
+    calls = spark.range(LARGE_LINES * LARGE_TRIPS * 12).select(F.floor(k / 12).alias("id"), (k % 12).cast("int").alias("pos"))
+    at = (F.lit(5 * 3600) + run * 720 + line % 12 * 60 + F.col("pos") * 120).cast("int")
+    calls = calls.select(F.concat_ws("-", F.lit("t"), line, run).alias("trip"), "pos", F.concat(F.lit("stop"), (line * 37 + F.col("pos") * (line % 7 + 1)) % LARGE_STOPS).alias("stop"), at.alias("arr"), at.alias("dep"))
+    t = timetable(spark)
+    t = {"calendar": t["calendar"], "exceptions": t["exceptions"], "transfers": spark.createDataFrame([], "src string, dst string, seconds int"), "trips": trips, "stop_times": calls, "stops": stops}
+    t["routes"] = spark.range(LARGE_LINES).select(F.concat(F.lit("l"), k).alias("route"), F.col("id").cast("string").alias("short_name"), F.lit("").alias("long_name"), F.lit(900).alias("route_type"), F.lit("Made up").alias("agency"))
+    people = areas_.select("wov_id", F.lit(2025).alias("year"), *((F.lit(1000) + F.col("ord") * 10).cast("long").alias(c) for c in ("total", "children", "young", "working_age", "elderly", "elderly_80_plus")))
+    return City(spark, areas_, people, services, {m: network(m) for m in SIZES}, t)
