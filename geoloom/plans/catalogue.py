@@ -568,7 +568,7 @@ def events_dedup_watermark(spark, sf_dir):
     return streams.without_duplicates(events, ["user_id", "event_type", "day"]).select("user_id", "event_type", "day")
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts + INTERVAL 30 MINUTE * k) AS start, event_type, count(*) AS n FROM (SELECT DATE_TRUNC('hour', ts) + CASE WHEN minute(ts) >= 30 THEN INTERVAL 30 MINUTE ELSE INTERVAL 0 MINUTE END AS ts, event_type FROM events), (VALUES (0)) t(k) GROUP BY ALL".replace("time_bucket(INTERVAL 1 HOUR, ts + INTERVAL 30 MINUTE * k)", "ts - INTERVAL 30 MINUTE * k").replace("(VALUES (0))", "(VALUES (0), (1))"))
+@query("SELECT half - INTERVAL 30 MINUTE * k AS start, event_type, count(*) AS n FROM (SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS half, event_type FROM events), (VALUES (0), (1)) t(k) GROUP BY 1, 2")
 def events_sliding(spark, sf_dir):
     return streams.tumbling(table(spark, sf_dir, "events"), "1 hour", "30 minutes").select("start", "event_type", "n")
 

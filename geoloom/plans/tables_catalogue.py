@@ -168,7 +168,7 @@ def repaired_network(spark, sf_dir):
     return routing.shortest_parallel(routing.repaired_lengths(edges, fixtures.grid_nodes(spark))).withColumn("length_m", F.round("length_m", 6))
 
 
-@query(f"WITH RECURSIVE {_nations}, {_sp} SELECT o AS origin, node, d AS cost FROM sp WHERE m = 'bike' AD d <= 2400".replace(" AD ", " AND "))
+@query(f"WITH RECURSIVE {_nations}, {_sp} SELECT o AS origin, node, d AS cost FROM sp WHERE m = 'bike' AND d <= 2400")
 def relational_paths(spark, sf_dir):
     """The way that large networks take: frontiers relaxed by joins, checkpointed."""
     return routing.shortest_paths(_origins(spark, sf_dir), _network(spark, "bike"), 2400.0, method="relational").select("origin", "node", "cost")
@@ -567,7 +567,7 @@ def standing_question_of_a_city(spark, sf_dir):
     return _PREPARED[name].ask("mode_gain", minutes=15, limit=100, departure="2026-08-20T08:00")
 
 
-@query("SELECT 0::BIGINT AS differ, 168::BIGINT AS n".replace("168", "(SELECT count(*) FROM nation) * 8").replace("(SELECT count(*) FROM nation) * 8::BIGINT", "((SELECT count(*) FROM nation) * 8)::BIGINT"))
+@query("SELECT 0::BIGINT AS differ, 8 * count(*) AS n FROM nation")
 def prepared_town_agrees(spark, sf_dir):
     """Profiles of a prepared city equal those of the city itself."""
     c = town.town(spark, sf_dir)

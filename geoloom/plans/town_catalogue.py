@@ -81,7 +81,7 @@ def town_service_summary(spark, sf_dir):
     return flat(T.town(spark, sf_dir).service_summary())
 
 
-@query("SELECT 'source ' || s_suppkey % 3 AS source, 'd' || s_suppkey % 2 AS dataset, CASE WHEN s_suppkey % 3 = 0 THEN 'u' END AS url FROM supplier GROUP BY ALL HAVING s_suppkey % 3 IS NOT NULL".replace("GROUP BY ALL HAVING s_suppkey % 3 IS NOT NULL", "GROUP BY s_suppkey % 3, s_suppkey % 2"))
+@query("SELECT 'source ' || s_suppkey % 3 AS source, 'd' || s_suppkey % 2 AS dataset, CASE WHEN count(DISTINCT u) = 1 THEN max(u) END AS url FROM (SELECT *, CASE WHEN s_suppkey % 3 = 0 THEN 'u' ELSE 'u' || s_suppkey % 7 END AS u FROM supplier) GROUP BY 1, 2")
 def town_service_sources(spark, sf_dir):
     return T.town(spark, sf_dir).service_sources()
 
@@ -130,7 +130,7 @@ def town_network_stats(spark, sf_dir):
 _reach = ", re AS (SELECT sp.o, s.id, s.category, s.name, s.label, sp.d + acc.d AS d FROM sp JOIN acc ON acc.node = sp.node AND acc.m = sp.m AND acc.d <= 500 JOIN s ON s.id = acc.id WHERE sp.d + acc.d <= 1200.0)"
 
 
-@query(_from_areas + _reach + " SELECT 'area:' || n_nationkey AS origin, category, count(re.id) AS n, round(min(re.d) / 80, 1) AS nearest_minutes, arg_min(re.id, (re.d, re.id)) AS nearest_id FROM nation CROSS JOIN cat LEFT JOIN re ON re.o = 'area:' || n_nationkey AND re.category = cat.category GROUP BY n_nationkey, cat.category".replace("SELECT 'area:' || n_nationkey AS origin, category,", "SELECT 'area:' || n_nationkey AS origin, cat.category AS category,"))
+@query(_from_areas + _reach + " SELECT 'area:' || n_nationkey AS origin, cat.category AS category, count(re.id) AS n, round(min(re.d) / 80, 1) AS nearest_minutes, arg_min(re.id, (re.d, re.id)) AS nearest_id FROM nation CROSS JOIN cat LEFT JOIN re ON re.o = 'area:' || n_nationkey AND re.category = cat.category GROUP BY n_nationkey, cat.category")
 def town_profiles(spark, sf_dir):
     c = T.town(spark, sf_dir)
     return c.profile(c.area_points(), "walk", 15).select("origin", "category", "n", "nearest_minutes", "nearest_id")

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from geoloom.plans import catalogue, city_catalogue  # noqa: F401
+from geoloom.plans import catalogue, city_catalogue, tables_catalogue, town_catalogue  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
